@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontaminate, huffman, quality, sharding, simhash
+from lodestone.llm import bpe, decontaminate, huffman, langid, pii, quality, sharding, simhash, toxicity
 from lodestone.llm.common import Scratch, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,14 @@ def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.report(table(spark, sf_dir, "documents"), TOKENIZER, f"{scratch.root}/files", scratch)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op5"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op6"))
 
@@ -41,8 +49,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_token_id_output, op6_benchmark_decontamination, op7_sharding, op8_bpe_encode_decode, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_token_id_output, op4_pii, op5_toxicity, op6_benchmark_decontamination, op7_sharding, op8_bpe_encode_decode, op9_simhash_near_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
