@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontaminate, huffman, langid, pii, quality, sharding, simhash, toxicity
+from lodestone.llm import bpe, decontaminate, huffman, langid, linededup, pii, quality, sharding, simhash, toxicity
 from lodestone.llm.common import Scratch, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +20,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
+
+
 def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op3")
     return huffman.report(table(spark, sf_dir, "documents"), TOKENIZER, f"{scratch.root}/files", scratch)
@@ -54,7 +58,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_token_id_output, op4_pii, op5_toxicity, op6_benchmark_decontamination, op7_sharding, op8_bpe_encode_decode, op9_simhash_near_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_token_id_output, op4_pii, op5_toxicity, op6_benchmark_decontamination, op7_sharding, op8_bpe_encode_decode, op9_simhash_near_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
