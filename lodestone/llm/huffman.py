@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch
-from lodestone.llm.wordbpe import Memo, texts_of, tokenizer
+from lodestone.llm.wordbpe import library_memo, texts_of, tokenizer
 
 LONGEST = 16
 #: Tokens between checkpoints, and tokens after which a block is closed at a document's end.
@@ -132,7 +132,7 @@ def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        memo = Memo(lambda piece: np.asarray(bpe.library_ids(piece), "<u2").tobytes())
+        coded = library_memo(path).__getitem__
         end, seen = np.uint16(end_id).astype("<u2").tobytes(), np.zeros(len(bpe.tokens), np.int64)
         counts = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())]))
 
@@ -140,7 +140,7 @@ def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary()), pa.array(pairs, counts)], ["doc_id", "ids", "counts"])
 
         for ids, texts in texts_of(batches):
-            data = [b"".join([memo[p] for p in bpe.pieces(t)]) + end for t in texts]
+            data = [b"".join(map(coded, bpe.pieces(t))) + end for t in texts]
             seen += np.bincount(np.frombuffer(b"".join(data), "<u2"), minlength=len(seen))
             yield batch(ids, data, [None] * len(ids))
         yield batch([None], [None], [[{"id": i, "n": int(seen[i])} for i in np.flatnonzero(seen).tolist()]])

@@ -15,8 +15,10 @@ from __future__ import annotations
 import json
 import mmap
 import re
+import sys
 import tempfile
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -24,7 +26,8 @@ import numpy as np
 
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 #: Entries of a worker's memo of pieces, before it starts anew.
-MEMO = 250_000
+MEMO = 400_000
+BYTES = [bytes([b]) for b in range(256)]
 
 
 def _latin(kind: str) -> str:
@@ -110,7 +113,8 @@ class WordBpe:
         """Ids of a piece by the library's model."""
         if piece in self.special:
             return [self.special[piece]]
-        return [t.id for t in self.own.model.tokenize("".join(self.letters[b] for b in piece.encode("utf-8")))]
+        plain = piece.isascii() and piece.isprintable()
+        return [t.id for t in self.own.model.tokenize(piece if plain else "".join([self.letters[b] for b in piece.encode("utf-8")]))]
 
 
 class Lexicon:
@@ -127,12 +131,14 @@ class Lexicon:
         file.flush()
         self.map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
         file.close()
-        sizes, at = np.frombuffer(self.map, np.uint32, len(self.FIELDS)), 4 * len(self.FIELDS)
-        for name, kind, n in zip(self.FIELDS, self.TYPES, sizes.tolist()):
-            setattr(self, name, np.frombuffer(self.map, kind, n, at))
-            at += n * kind().itemsize
-        at = 4 * len(self.FIELDS) + int(sizes[0]) * 4
-        self.labels_at = at
+        sizes, at = np.frombuffer(self.map, np.uint32, len(self.FIELDS)).tolist(), 4 * len(self.FIELDS)
+        view = memoryview(self.map)
+        for name, kind, n in zip(self.FIELDS, self.TYPES, sizes):
+            width = kind().itemsize
+            setattr(self, name, view[at : at + n * width].cast("BHI"[width // 2]))
+            if name == "label":
+                self.labels_at = at
+            at += n * width
 
     @classmethod
     def compile(cls, words: dict[str, list[int]]) -> bytes:
@@ -181,14 +187,14 @@ class Lexicon:
 
     def find(self, word: str) -> list[int] | None:
         """The word's ids, or None if it isn't in the lexicon."""
-        state, place, first, labels, base = len(self.final) - 1, 0, self.first, self.map, self.labels_at
+        state, place, base, find = len(self.final) - 1, 0, self.labels_at, self.map.find
+        first, output, target = self.first, self.output, self.target
         for byte in word.encode("utf-8"):
-            low, high = base + int(first[state]), base + int(first[state + 1])
-            arc = labels.find(byte.to_bytes(1, "little"), low, high) - base
+            arc = find(BYTES[byte], base + first[state], base + first[state + 1]) - base
             if arc < 0:
                 return None
-            place += int(self.output[arc])
-            state = int(self.target[arc])
+            place += output[arc]
+            state = target[arc]
         if not self.final[state]:
             return None
         return self.ids[self.place[place] : self.place[place + 1]].tolist()
@@ -214,6 +220,20 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+@lru_cache(2)
+def library_memo(path: str) -> Memo:
+    """A worker's pieces with their ids by the library, as little-endian 16-bit numbers; kept from task to task."""
+    bpe = tokenizer(path)
+
+    def made(piece: str) -> bytes:
+        ids = array("H", bpe.library_ids(piece))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    return Memo(made)
+
+
 def texts_of(batches: Iterable) -> Iterator[tuple[list, list[str]]]:
     """(doc ids, texts) of small runs of rows of Arrow batches (doc_id, text); null texts as empty."""
     for batch in batches:
