@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Words (runs of letters, in lower case) give the 1- to 3-grams of ``^word$``, hashed into ``DIMENSIONS``
-places. A text's vector is log(1 + count) * idf, of length one. Document frequencies are counted over
+Words (runs of letters, in lower case) give the 1- to 3-grams of the word with its boundaries, hashed into
+``DIMENSIONS`` places. A text's vector is log(1 + count) * idf, of length one. Document frequencies are counted over
 all training documents; the weights are fitted by follow-the-regularised-leader (FTRL-proximal) with
 elastic-net penalties on a bounded sample (``PER_LANGUAGE`` documents of each language, a fifth of
 them kept back to set the temperature that calibrates the scores).
@@ -15,11 +15,10 @@ are scored whole; repeated rows give the same row each; other columns are not lo
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,34 +26,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.sampling import fold, sample
-from lodestone.llm.wordbpe import Memo, texts_of
+from lodestone.llm.wordbpe import texts_of
 
 DIMENSIONS, LONGEST_GRAM = 1 << 15, 3
 PER_LANGUAGE = 600
 FOLDS = 5
-WORDS = re.compile(r"[^\W\d_]+")
 
 
-def grams_of(word: str) -> np.ndarray:
-    padded = f"^{word}$"
-    grams = [padded[i : i + n] for n in range(1, LONGEST_GRAM + 1) for i in range(len(padded) - n + 1)]
-    return np.array([zlib.crc32(g.encode("utf-8")) % DIMENSIONS for g in grams], np.int32)
-
-
-def words_of(text: str) -> Counter:
-    """Counts of the words that have a letter."""
-    counts = Counter(WORDS.findall(text.lower()))
-    if not text.isascii():
-        for word in [w for w in counts if not w.isalpha() and not any(map(str.isalpha, w))]:
-            del counts[word]
-    return counts
-
-
-def vector(counts: Counter, grams: Memo, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """Of each code point, whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def places_of(texts: list[str]) -> list[np.ndarray]:
+    """The places of each text's grams; empty for a text without a letter.
+
+    All texts are taken at once: other characters become one boundary between words, and a gram is any
+    run of up to LONGEST_GRAM characters with a letter and without a boundary inside.
+    """
+    lowered = ["\n" + t.lower() + "\n" for t in texts]
+    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in lowered])
+    letter = letters()[codes]
+    starts = np.append(True, owner[1:] != owner[:-1])
+    kept = letter | starts | np.append(False, letter[:-1])  # of each run of others the first
+    codes, owner, letter = np.where(letter, codes, 1)[kept].astype(np.uint32), owner[kept], letter[kept]
+    places, owners = [], []
+    for n in range(1, LONGEST_GRAM + 1):
+        count = max(0, len(codes) - n + 1)
+        h = np.full(count, np.uint32(0x9E3779B1 * n & 0xFFFFFFFF))
+        inside, some = np.ones(count, bool), np.zeros(count, bool)
+        for k in range(n):
+            h = (h ^ codes[k : k + count]) * np.uint32(0x85EBCA6B)
+            h ^= h >> np.uint32(15)
+            some |= letter[k : k + count]
+            if 0 < k < n - 1:
+                inside &= letter[k : k + count]
+        # Two boundaries side by side are the end of one text and the start of the next.
+        wanted = some & inside & (owner[:count] == owner[n - 1 : n - 1 + count])
+        places.append((h[wanted] % np.uint32(DIMENSIONS)).astype(np.int32))
+        owners.append(owner[:count][wanted])
+    every, owners = np.concatenate(places), np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return np.split(every[order], np.searchsorted(owners[order], np.arange(1, len(texts))))
+
+
+def vector(places: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of a text's TF-IDF vector."""
-    parts = [grams[w] for w in counts]
-    n = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), [len(p) for p in parts])
-    tf = np.bincount(np.concatenate(parts), n, DIMENSIONS)
+    tf = np.bincount(places, minlength=DIMENSIONS)
     at = np.flatnonzero(tf)
     x = np.log1p(tf[at]) * idf[at]
     return at, x / max(np.sqrt(x @ x), 1e-12)
@@ -64,16 +84,11 @@ def document_frequencies(training: DataFrame) -> tuple[np.ndarray, int]:
     """Per place the number of training documents that have one of its grams, and the number of documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, seen, mask = Memo(grams_of), np.zeros(DIMENSIONS + 1, np.int64), np.zeros(DIMENSIONS, bool)
+        seen = np.zeros(DIMENSIONS + 1, np.int64)
         for _, texts in texts_of(batches):
-            for text in texts:
-                parts = [grams[w] for w in set(WORDS.findall(text.lower()))]
-                if parts:
-                    at = np.concatenate(parts)
-                    mask[at] = True
-                    seen[:DIMENSIONS] += mask
-                    mask[at] = False
-                seen[DIMENSIONS] += 1
+            for places in places_of(texts):
+                seen[:DIMENSIONS] += np.bincount(places, minlength=DIMENSIONS) > 0
+            seen[DIMENSIONS] += len(texts)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["place", "n"])
 
@@ -144,14 +159,13 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | No
     training = docs.select("doc_id", "text", "lang").filter((fold(F.col("doc_id"), FOLDS) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = sorted(sample(training, "lang", per_language).collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))
     languages = tuple(sorted({r["lang"] for r in rows}))
-    counted = [(words_of(r["text"]), languages.index(r["lang"])) for r in rows]
-    counted = [(c, label) for c, label in counted if c]
+    counted = [(places_of([r["text"]])[0], languages.index(r["lang"])) for r in rows]
+    counted = [(places, label) for places, label in counted if len(places)]
     if not counted:
         return None
     frequencies, n = document_frequencies(training)
     idf = np.log((1 + n) / (1 + frequencies)) + 1
-    grams = Memo(grams_of)
-    vectors = [(*vector(c, grams, idf), label) for c, label in counted]
+    vectors = [(*vector(places, idf), label) for places, label in counted]
     back = vectors[::5]
     weights, bias = ftrl([v for i, v in enumerate(vectors) if i % 5 or len(vectors) < 10], len(languages))
     model = LanguageModel(languages, idf, weights, bias, 1.0)
@@ -164,16 +178,15 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, grams = shared.value, Memo(grams_of)
+        own = shared.value
         for ids, texts in texts_of(batches):
             names, scores = [], []
-            for text in texts:
-                counts = words_of(text)
-                if own is None or not counts:
+            for places in places_of(texts):
+                if own is None or not len(places):
                     names.append("und")
                     scores.append(0.0)
                     continue
-                p = softmax(own.logits(*vector(counts, grams, own.idf)) / own.temperature)
+                p = softmax(own.logits(*vector(places, own.idf)) / own.temperature)
                 names.append(own.languages[int(p.argmax())])
                 scores.append(float(p.max()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
