@@ -34,24 +34,28 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
-    ``keep`` writes a frame and reads it back. A scratch made with the name of an earlier one
-    first deletes what that one left, so a caller that has consumed its result frees the disk.
+    ``keep`` writes a frame and reads it back. ``drop`` deletes all that this scratch has kept; a scratch
+    that ``replaces`` drops the last one of its owner, whose results have been consumed by then.
     """
 
-    _left: dict[str, list[str]] = {}
+    _last: dict[str, Scratch] = {}
 
-    def __init__(self, spark: SparkSession, owner: str):
+    def __init__(self, spark: SparkSession, owner: str, replaces: bool = False):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tables/{owner}-{uuid.uuid4().hex}"
-        for old in Scratch._left.pop(owner, []):
-            delete(spark, old)
-        Scratch._left[owner] = [self.root]
+        if replaces:
+            if owner in Scratch._last:
+                Scratch._last[owner].drop()
+            Scratch._last[owner] = self
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def drop(self) -> None:
+        delete(self.spark, self.root)
+
 
 def delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

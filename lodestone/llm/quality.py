@@ -158,14 +158,13 @@ def removals(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, scratch: Scratch, rules: QualityRules = QualityRules(), with_rows: bool = False) -> DataFrame:
-    """Per document the text rules' figures, removed_words and kept; with_rows also row (its columns) and removed_at."""
-    own = ["doc_id", "text", "source"]
-    frame = docs.select(*own, *([F.struct(*docs.columns).alias("row")] if with_rows else []))
-    frequent = scratch.keep(frequent_lines(docs.select(*own), rules), "frequent_lines")
-    removed = scratch.keep(removals(docs.select(*own), small(frequent)), "removals")
-    judged = text_rules(frame, rules).withColumn("key", F.xxhash64("text")).withColumn("host", F.coalesce("source", F.lit(""))).drop("text", "source")
-    removed = small(removed if with_rows else removed.drop("removed_at"))
+def judge(docs: DataFrame, scratch: Scratch, rules: QualityRules = QualityRules(), places: bool = False) -> DataFrame:
+    """Per document doc_id, key, host, the text rules' figures, removed_words and kept; with places also r_removed_at."""
+    docs = docs.select("doc_id", "text", "source")
+    frequent = scratch.keep(frequent_lines(docs, rules), "frequent_lines")
+    removed = scratch.keep(removals(docs, small(frequent)), "removals")
+    judged = text_rules(docs, rules).withColumn("key", F.xxhash64("text")).withColumn("host", F.coalesce("source", F.lit(""))).drop("text", "source")
+    removed = small(removed if places else removed.drop("removed_at"))
     r = removed.select(*[F.col(c).alias(f"r_{c}") for c in removed.columns])
     joined = judged.join(r, F.col("doc_id").eqNullSafe(F.col("r_doc_id")) & (F.col("key") == F.col("r_key")) & (F.col("host") == F.col("r_host")), "left")
     gone = F.coalesce("r_removed_words", F.lit(0))
@@ -175,12 +174,20 @@ def judge(docs: DataFrame, scratch: Scratch, rules: QualityRules = QualityRules(
 
 
 def clean(docs: DataFrame, scratch: Scratch, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents kept, without their boilerplate lines; n_chars follows the text."""
-    judged = judge(docs, scratch, rules, with_rows=True).filter("kept")
+    """The documents kept, without their boilerplate lines; n_chars follows the text.
+
+    Verdicts are written first and then joined to the rows: as a filter they would be pushed below the
+    columns that they are made of, and take all those steps' expressions apart.
+    """
+    judged = judge(docs, scratch, rules, places=True).select("doc_id", "key", "host", "kept", F.col("r_removed_at").alias("at"))
+    verdicts = scratch.keep(judged, "verdicts").filter("not kept or at is not null").dropDuplicates(["doc_id", "key", "host"])
+    v = small(scratch.keep(verdicts.select(*[F.col(c).alias(f"v_{c}") for c in verdicts.columns]), "changes"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("l_doc_id"), F.xxhash64("text").alias("l_key"), F.coalesce("source", F.lit("")).alias("l_host"))
+    joined = rows.join(v, F.col("l_doc_id").eqNullSafe(F.col("v_doc_id")) & (F.col("l_key") == F.col("v_key")) & (F.col("l_host") == F.col("v_host")), "left").filter(F.coalesce("v_kept", F.lit(True)))
     lines = F.split(F.col("row.text"), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("r_removed_at"))
-    text = F.when(F.col("r_removed_at").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    out = judged.withColumn("_text", text)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("v_at"))
+    text = F.when(F.col("v_at").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    out = joined.withColumn("_text", text)
     given = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return out.select(*[given[c].alias(c) if c in given else F.col("row")[c].alias(c) for c in docs.columns])
 

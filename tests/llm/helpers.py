@@ -6,7 +6,11 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def prose(rng: random.Random, n: int, vocabulary: int = 400) -> str:
-    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+    return " ".join(word(rng.randrange(vocabulary)) for _ in range(n))
+
+
+def word(i: int) -> str:
+    return "w" + "".join("aeioulnrst"[int(d)] for d in str(i))
 
 
 def frame(spark, rows, extra=False):
