@@ -16,13 +16,14 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch
-from lodestone.llm.wordbpe import Lexicon, Memo, texts_of, tokenizer
+from lodestone.llm.wordbpe import MEMO, Lexicon, Memo, WordBpe, texts_of, tokenizer
 
 #: Pieces in the lexicon.
 LEXICON = 32_768
@@ -57,9 +58,23 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> bytes:
     return Lexicon.compile({r["piece"]: bpe.merge(r["piece"]) for r in top if r["piece"]})
 
 
-def ids_of(lexicon: Lexicon, bpe, piece: str) -> list[int]:
+def ids_of(lexicon: Lexicon, bpe: WordBpe, piece: str) -> list[int]:
+    """From the lexicon; of a piece that isn't there, by merging."""
     found = lexicon.find(piece) if piece not in bpe.special else None
-    return bpe.merge(piece) if found is None else found
+    return bpe.library_ids(piece) if found is None else found
+
+
+@lru_cache(1)
+def lexicon_memo(path: str, lexicon: bytes) -> Memo:
+    """A worker's pieces with their ids and tokens, as decimals and as text; kept from task to task."""
+    bpe, lex = tokenizer(path), Lexicon(lexicon)
+    tokens = bpe.tokens
+
+    def made(piece: str) -> tuple[bytes, bytes]:
+        ids = ids_of(lex, bpe, piece)
+        return " ".join(map(str, ids)).encode(), " ".join([tokens[i] for i in ids]).encode()
+
+    return Memo(made, MEMO // 2)
 
 
 def encode(docs: DataFrame, path: str, lexicon: bytes) -> DataFrame:
@@ -68,10 +83,12 @@ def encode(docs: DataFrame, path: str, lexicon: bytes) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, lex = tokenizer(path), Lexicon(shared.value)
-        memo = Memo(lambda piece: ids_of(lex, bpe, piece))
+        coded = Memo(lambda piece: np.asarray(ids_of(lex, bpe, piece), np.uint16).tobytes()).__getitem__
         for ids, texts in texts_of(batches):
-            encoded = [[i for piece in bpe.pieces(t) for i in memo[piece]] for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(encoded, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            data = [b"".join(map(coded, bpe.pieces(t))) for t in texts]
+            ends = np.cumsum([0, *(len(d) // 2 for d in data)]).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(data), np.uint16).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -96,18 +113,11 @@ def digests(docs: DataFrame, path: str, lexicon: bytes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, lex = tokenizer(path), Lexicon(shared.value)
-        tokens = bpe.tokens
-
-        def made(piece: str) -> tuple[bytes, bytes]:
-            ids = ids_of(lex, bpe, piece)
-            return " ".join(map(str, ids)).encode(), " ".join([tokens[i] for i in ids]).encode()
-
-        memo = Memo(made)
+        bpe, looked_up = tokenizer(path), lexicon_memo(path, shared.value).__getitem__
         for doc_ids, texts in texts_of(batches):
             n, ids_sha, decoded_sha = [], [], []
             for text in texts:
-                both = [memo[piece] for piece in bpe.pieces(text)]
+                both = list(map(looked_up, bpe.pieces(text)))
                 ids = b" ".join([x for x, _ in both])
                 n.append(ids.count(b" ") + 1 if ids else 0)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
