@@ -8,10 +8,12 @@ if its class is linked to a class that begins earlier.
 The join: a line of length L is cut into tau + 1 segments. Whatever is within tau edits has one of them
 unchanged, at a place that tau limits, so each line gives one index entry for each segment, and as probe
 one entry for each substring that could be such a segment of a line of its length or up to tau less.
-Entries meet by a hash of segment number, length and content. A key where too many meet (half a passage
-that many lines share) gives no pairs: its lines are entered again in ``FINER`` segments, of which all
-but tau have to agree, which leaves together only lines that differ in the same small stretches. The
-pairs found are verified by banded bit-parallel edit distance, many pairs in step.
+Entries meet by a hash of segment number, length and content. Lines that meet are compared by the parities
+of their characters' counts first, which discard most pairs that are further apart, so that few but
+linked pairs leave a key; these are verified by banded bit-parallel edit distance, many pairs in step. A
+key where too many meet for that (half a passage that very many lines share) gives no pairs: its lines
+are entered again in ``FINER`` segments, of which all but tau have to agree, which leaves together only
+lines that differ in the same small stretches.
 
 Defined results: null and empty texts have no lines; lines shorter than MIN_CHARS are never dropped nor
 compared; rows that repeat a doc_id with the same text are the same lines; a null doc_id comes first; very
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import BLANKS, Scratch
 
 TAU, MIN_CHARS = 2, 24
-#: Segments for the lines of keys with more than CROWD pairs; after the last there is no such limit.
-FINER, CROWD = (8, 24), 64
+#: Segments for the lines of keys with more than CROWD pairs to compare; after the last there is no such limit.
+FINER, CROWD = (8, 24), 4_000_000
 #: Ids (a long each) up to which a set is broadcast.
 SET_ROWS = 1_000_000
 #: Characters of lines that are keyed at once, and distinct lines that a task remembers.
@@ -117,8 +119,23 @@ def entries(lines: list[str], ids: np.ndarray, k: int, tau: int) -> tuple[np.nda
     return np.concatenate(keys).view(np.int64), ids[np.concatenate(owners)]
 
 
+def parities(lines: list[str]) -> np.ndarray:
+    """Per line, as bits by hash, whether each character (low half) and each pair of characters (high half) occurs an odd number of times.
+
+    An edit changes two bits of the low half at most, and four of the high one.
+    """
+    sizes = np.array([len(x) for x in lines], np.int64)
+    codes = mix(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+    one, starts = np.uint64(1), np.cumsum(sizes) - sizes
+    marks = one << (codes >> np.uint64(59))
+    twos = one << ((mix(codes[:-1] * np.uint64(3) + codes[1:]) >> np.uint64(59)) + np.uint64(32))
+    twos = np.append(twos, np.uint64(0))
+    twos[starts + sizes - 1] = 0  # from one line to the next
+    return np.bitwise_xor.reduceat(marks ^ twos, starts).view(np.int64)
+
+
 def keyed(lines: DataFrame, k: int, tau: int) -> DataFrame:
-    """(key, id) of lines (id, line); a line that the task has just keyed is passed over."""
+    """(key, id, mark) of lines (id, line), mark being their parities; a line that the task has just keyed is passed over."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -141,26 +158,30 @@ def keyed(lines: DataFrame, k: int, tau: int) -> DataFrame:
                 yield made(ids, texts)
 
     def made(ids: list[int], texts: list[str]) -> pa.RecordBatch:
-        keys, owners = entries(texts, np.array(ids, np.int64), k, tau)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners)], ["key", "id"])
+        keys, owners = entries(texts, np.arange(len(ids)), k, tau)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, np.array(ids, np.int64)[owners], parities(texts)[owners])], ["key", "id", "mark"])
+
+    return lines.mapInArrow(run, "key long, id long, mark long")
 
-    return lines.mapInArrow(run, "key long, id long")
 
+def meeting(entered: DataFrame, crowd: int | None, tau: int) -> DataFrame:
+    """(a, b): ids, a < b, of an index entry and a probe with one key; or (id, null) where more than ``crowd`` such pairs meet.
 
-def meeting(entered: DataFrame, crowd: int | None) -> DataFrame:
-    """(a, b): ids, a < b, of an index entry and a probe with one key; or (id, null) where more than ``crowd`` such pairs meet."""
+    Pairs whose parities tell that they are further apart are left out.
+    """
+    low = np.uint64(0xFFFFFFFF)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64), np.empty(0, np.int64)]
+        held: list[np.ndarray] | None = None
 
         def batch_of(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], ["a", "b"])
 
-        def out(key: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, ids = columns[:2]
             new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))  # sorted: the same line from several tasks
-            key, ids = key[new], ids[new]
-            group = key >> 1
-            starts = np.append(0, np.flatnonzero(np.diff(group)) + 1)
+            key, ids, marks = (c[new] for c in columns)
+            starts = np.append(0, np.flatnonzero(np.diff(key >> 1)) + 1)
             sizes = np.diff(np.append(starts, len(key)))
             probes = np.add.reduceat(key & 1, starts)
             wanted = (probes > 0) & (probes < sizes)
@@ -169,27 +190,35 @@ def meeting(entered: DataFrame, crowd: int | None) -> DataFrame:
             if hot.any():
                 yield batch_of(np.unique(ids[hot]), None)
             rest = np.repeat(wanted & ~large, sizes)
-            key, ids = key[rest], ids[rest]
-            at, lag = np.arange(len(key)), 1
+            key, ids, marks = (c[rest] for c in (key, ids, marks))
+            at, lag, found, size = np.arange(len(key)), 1, [np.empty((0, 2), np.int64)], 0
             while len(at):
                 at = at[at + lag < len(key)]
                 at = at[(key[at] >> 1) == (key[at + lag] >> 1)]
                 pair = at[((key[at] & 1) != (key[at + lag] & 1)) & (ids[at] != ids[at + lag])]
-                if len(pair):
-                    yield batch_of(np.minimum(ids[pair], ids[pair + lag]), np.maximum(ids[pair], ids[pair + lag]))
-                lag += 1
+                odd = (marks[pair] ^ marks[pair + lag]).view(np.uint64)
+                pair = pair[(np.bitwise_count(odd & low) <= 2 * tau) & (np.bitwise_count(odd >> np.uint64(32)) <= 4 * tau)]
+                found.append(np.sort(np.stack([ids[pair], ids[pair + lag]], axis=1), axis=1))
+                size, lag = size + len(pair), lag + 1
+                if size > 1 << 20:
+                    found, size = [np.unique(np.concatenate(found), axis=0)], 0
+            pairs = np.unique(np.concatenate(found), axis=0)
+            if len(pairs):
+                yield batch_of(pairs[:, 0].copy(), pairs[:, 1].copy())
 
         for batch in batches:
-            key, ids = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns))
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            columns = columns if held is None else [np.concatenate(x) for x in zip(held, columns)]
+            key = columns[0]
             if not len(key):
                 continue
             other = np.flatnonzero((key >> 1) != (key[-1] >> 1))
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
-                yield from out(key[:cut], ids[:cut])
-            held = [key[cut:], ids[cut:]]
-        if len(held[0]):
-            yield from out(*held)
+                yield from out([c[:cut] for c in columns])
+            held = [c[cut:] for c in columns]
+        if held is not None and len(held[0]):
+            yield from out(held)
 
     return entered.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long")
 
@@ -278,36 +307,31 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SET_ROWS else ids
 
 
-def candidate_pairs(docs: DataFrame, scratch: Scratch, tau: int) -> DataFrame:
-    """(a, b) of line ids that agree as the join asks."""
-    found, lines = None, lines_of(docs).select("id", "line")
-    levels = (tau + 1, *FINER)
-    for level, k in enumerate(levels):
-        last = level == len(levels) - 1
-        met = scratch.keep(meeting(keyed(lines, k, tau), None if last else CROWD).distinct(), f"met_{level}")
-        pairs = met.filter("b is not null")
-        found = pairs if found is None else found.unionByName(pairs)
-        crowded = met.filter("b is null").select(F.col("a").alias("id"))
-        if last or crowded.isEmpty():
-            break
-        lines = lines_of(docs).select("id", "line").join(_bounded(crowded), "id", "left_semi")
-    return found.distinct()
-
-
 def links(docs: DataFrame, scratch: Scratch, tau: int = TAU) -> DataFrame:
-    """(id, id2, other, other2): both ways, the classes within tau edits."""
-    pairs = scratch.keep(candidate_pairs(docs, scratch, tau), "pairs")
-    needed = scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
+    """(id, id2, other, other2): both ways, the classes within tau edits.
+
+    Texts are fetched once, for the lines of pairs and of crowded keys; what is entered again in finer
+    segments is taken from those.
+    """
+    first = scratch.keep(meeting(keyed(lines_of(docs).select("id", "line"), tau + 1, tau), CROWD, tau).distinct(), "met_0")
+    pairs, crowded = first.filter("b is not null"), first.filter("b is null").select(F.col("a").alias("id"))
+    needed = scratch.keep(first.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
     texts = scratch.keep(lines_of(docs).select("id", "id2", "line").join(_bounded(needed), "id", "left_semi").groupBy("id", "id2").agg(F.first("line").alias("line")), "texts")
+    for level, k in enumerate(FINER, 1):
+        if crowded.isEmpty():
+            break
+        lines = texts.select("id", "line").join(_bounded(crowded), "id", "left_semi")
+        met = scratch.keep(meeting(keyed(lines, k, tau), CROWD if level < len(FINER) else None, tau).distinct(), f"met_{level}")
+        pairs, crowded = pairs.unionByName(met.filter("b is not null")), met.filter("b is null").select(F.col("a").alias("id"))
     one, two = (texts.select(F.col("id").alias(n), F.col("id2").alias(f"{n}2"), F.col("line").alias(side)) for n, side in (("a", "left"), ("b", "right")))
-    near = scratch.keep(verified(pairs.join(one, "a").join(two, "b"), tau), "links")
+    near = scratch.keep(verified(pairs.distinct().join(one, "a").join(two, "b"), tau), "links")
     names = ("id", "id2", "other", "other2")
     return near.select(*[F.col(c).alias(n) for c, n in zip(("a", "a2", "b", "b2"), names)]).union(near.select(*[F.col(c).alias(n) for c, n in zip(("b", "b2", "a", "a2"), names)]))
 
 
-def classes(docs: DataFrame, scratch: Scratch, tau: int = TAU) -> DataFrame:
+def classes(docs: DataFrame, places: DataFrame, scratch: Scratch, tau: int = TAU) -> DataFrame:
     """(id, id2, head, n_links, dropped): head is the first occurrence (doc_id, key, at); dropped if a linked class has an earlier one."""
-    heads = scratch.keep(lines_of(docs).select("id", "id2", F.struct("doc_id", "key", "at").alias("place")).groupBy("id", "id2").agg(F.min("place").alias("head")), "heads")
+    heads = scratch.keep(places.select("id", "id2", F.struct("doc_id", "key", "at").alias("place")).groupBy("id", "id2").agg(F.min("place").alias("head")), "heads")
     both = links(docs, scratch, tau).join(heads.select(F.col("id").alias("other"), F.col("id2").alias("other2"), F.col("head").alias("other_head")), ["other", "other2"])
     linked = both.groupBy("id", "id2").agg(F.count("*").alias("n_links"), F.min("other_head").alias("least"))
     joined = heads.join(linked, ["id", "id2"], "left")
@@ -316,7 +340,8 @@ def classes(docs: DataFrame, scratch: Scratch, tau: int = TAU) -> DataFrame:
 
 def occurrences(docs: DataFrame, scratch: Scratch, tau: int = TAU) -> DataFrame:
     """Per line of a document (doc_id, key, at): its class's first occurrence, the class's number of links, and kept."""
-    rows = lines_of(docs).select("doc_id", "key", "at", "id", "id2").join(classes(docs, scratch, tau), ["id", "id2"])
+    places = scratch.keep(lines_of(docs).drop("line"), "places")
+    rows = places.join(classes(docs, places, scratch, tau), ["id", "id2"])
     first = F.struct("doc_id", "key", "at").eqNullSafe(F.col("head"))
     return rows.select("doc_id", "key", "at", F.col("head.doc_id").alias("class_doc_id"), F.col("head.at").alias("class_line"), "n_links", (first & ~F.col("dropped")).alias("kept"))
 
@@ -330,6 +355,8 @@ def clean(docs: DataFrame, scratch: Scratch, tau: int = TAU) -> DataFrame:
     """The documents without their dropped lines; n_chars follows the text. All rows stay, if with an empty text."""
     gone = occurrences(docs.select("doc_id", "text"), scratch, tau).filter("not kept").groupBy("doc_id", "key").agg(F.collect_set("at").alias("r_gone"))
     gone = scratch.keep(gone.withColumnRenamed("doc_id", "r_doc_id").withColumnRenamed("key", "r_key"), "gone")
+    total = gone.agg(F.coalesce(F.sum(4 + F.size("r_gone")), F.lit(0))).first()[0]
+    gone = F.broadcast(gone) if total <= 4 * SET_ROWS else gone
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("l_doc_id"), F.xxhash64("text").alias("l_key"))
     joined = rows.join(gone, F.col("l_doc_id").eqNullSafe(F.col("r_doc_id")) & (F.col("l_key") == F.col("r_key")), "left")
     lines = F.split(F.col("row.text"), "\n")
