@@ -14,7 +14,7 @@ BLANKS = " \t\n\x0b\f\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 
 #: A side of a join is broadcast only up to so many rows of at most about a hundred bytes.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch
+from lodestone.llm.common import Scratch, small
 from lodestone.llm.wordbpe import texts_of
 
 SEED, RADIUS = 42, 3
@@ -223,8 +223,10 @@ def keep_one(docs: DataFrame, scratch: Scratch, shingle: int = 3) -> DataFrame:
     """One document of each group: that with the smallest doc_id (of equal ids, any one)."""
     found = scratch.keep(groups(docs.select("doc_id", "text"), scratch, shingle), "groups")
     chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    by_id = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    dropped = small(scratch.keep(by_id.filter("not stays").select(F.col("doc_id").alias("r_doc_id")), "dropped"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("l_doc_id"))
-    kept = rows.join(chosen.select(F.col("doc_id").alias("r_doc_id")).distinct(), F.col("l_doc_id").eqNullSafe(F.col("r_doc_id")), "left_semi")
+    kept = rows.join(dropped, F.col("l_doc_id").eqNullSafe(F.col("r_doc_id")), "left_anti")
     repeated = scratch.keep(chosen.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("r_doc_id")), "repeated")
     if not repeated.isEmpty():
         twice = F.col("l_doc_id").eqNullSafe(F.col("r_doc_id"))

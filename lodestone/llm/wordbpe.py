@@ -20,7 +20,7 @@ import tempfile
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -60,7 +60,7 @@ class WordBpe:
         self.own = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
         self.ids: dict[str, int] = spec["model"]["vocab"]
-        self.ranks = {tuple(pair): i for i, pair in enumerate(spec["model"]["merges"])}
+        self.path = path
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = [""] * (1 + max([*self.ids.values(), *self.special.values()]))
         for token, i in (self.ids | self.special).items():
@@ -87,6 +87,11 @@ class WordBpe:
         split = self.own.pre_tokenizer.pre_tokenize_str(self.own.normalizer.normalize_str(text))
         return [bytes(map(self.bytes.__getitem__, piece)).decode("utf-8") for piece, _ in split]
 
+    @cached_property
+    def ranks(self) -> dict[tuple[str, str], int]:
+        """Pairs by rank; workers merge by the library's model and don't need them."""
+        return {tuple(pair): i for i, pair in enumerate(json.load(open(self.path, encoding="utf-8"))["model"]["merges"])}
+
     def merge(self, piece: str) -> list[int]:
         """Ids of a piece: of all neighbouring pairs the one with the lowest rank is merged, leftmost first, until none has a rank."""
         if piece in self.special:
