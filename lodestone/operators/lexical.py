@@ -235,8 +235,13 @@ def bm25(docs: DataFrame, tree, tokens: Column | None = None) -> DataFrame:
         return docs.select("path", F.lit(0.0).alias("score")).filter(F.lit(False))
     phrases = list(dict.fromkeys(phrases_of(tree)))
     array = F.col("_tokens")
-    own = docs.select("path", (word_tokens(F.col("text")) if tokens is None else tokens).alias("_tokens"))
-    counted = own.select("path", F.size(array).alias("_size"), *[frequency(array, p).alias(f"_tf{i}") for i, p in enumerate(phrases)], *([array] if any_near(tree) else []))
+    made = word_tokens(F.col("text")) if tokens is None else tokens
+
+    def counts(t: Column) -> Column:
+        return F.struct(F.size(t).alias("_size"), *[frequency(t, p).alias(f"_tf{i}") for i, p in enumerate(phrases)], *([t.alias("_tokens")] if any_near(tree) else []))
+
+    # Bound by a lambda, so that the tokens of a row are made once and not for each use.
+    counted = docs.select("path", F.get(F.transform(F.array(made), counts), F.lit(0)).alias("_c")).select("path", "_c.*")
     totals = [F.count("*").alias("_n"), F.avg("_size").alias("_mean"), *[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(phrases))]]
     joined = counted.crossJoin(F.broadcast(counted.agg(*totals)))  # one row
     found = {p: F.col(f"_tf{i}") for i, p in enumerate(phrases)}
