@@ -221,9 +221,15 @@ def holds(tree, tokens: Column, found: dict[Phrase, Column]) -> Column:
         if len(tree.phrases) < 2:
             return all_there
         # Some start of the first phrase has a start of every other within the distance.
-        first, rest = tree.phrases[0], tree.phrases[1:]
+        first = tree.phrases[0]
+
+        def near(i: Column, p: Phrase) -> Column:
+            after, before = tree.distance + len(first.terms), tree.distance + len(p.terms)
+            return F.exists(starts_of(tokens, p), lambda j: (j - i <= after) & (i - j <= before))
+
         def close(i: Column) -> Column:
-            return reduce(lambda a, b: a & b, [F.exists(starts_of(tokens, p), lambda j, p=p: (j - i <= tree.distance + len(first.terms)) & (i - j <= tree.distance + len(p.terms))) for p in rest])
+            return reduce(lambda a, b: a & b, [near(i, p) for p in tree.phrases[1:]])
+
         return all_there & F.exists(starts_of(tokens, first), close)
     left, right = (holds(p, tokens, found) for p in tree.parts)
     return {"AND": left & right, "OR": left | right, "NOT": left & ~right}[tree.op]

@@ -189,9 +189,9 @@ def bm25_prefix(spark, d):
     return rounded(lexical.search(corpus(spark, d), "password*", 50))
 
 
-@query(bm25_sql([term_sql("how"), term_sql("is"), term_sql("that")], "tf0 > 0 OR tf1 > 0 OR tf2 > 0", TOP50))
+@query(bm25_sql([term_sql("der"), term_sql("heed")], "tf0 > 0 OR tf1 > 0", TOP50))
 def bm25_fallback(spark, d):
-    return rounded(lexical.search(corpus(spark, d), "how is that?", 50))
+    return rounded(lexical.search(corpus(spark, d), "der heed?", 50))
 
 
 @query(bm25_sql([term_sql("der"), term_sql("with")], "tf0 > 0 OR tf1 > 0", "SELECT path, round(score, 6) AS score FROM bm WHERE path LIKE 'src/src1/%' OR (path LIKE 'src/src2/%' AND regexp_matches(path, '^src/src2/(?:[^/]+/)*[^/]*7\\.txt$')) ORDER BY score DESC, path LIMIT 50"))
