@@ -659,7 +659,6 @@ def consistency_violations(spark, d):
 @query("WITH RECURSIVE s AS (SELECT vec_id AS id, CASE WHEN vec_id > 0 THEN vec_id // 2 END AS parent_id FROM embeddings), r AS (SELECT id FROM s WHERE id % 50 = 49 UNION SELECT s.parent_id FROM s JOIN r USING (id) WHERE s.parent_id IS NOT NULL) SELECT id FROM r")
 def symbol_closure(spark, d):
     s = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") > 0, F.floor(F.col("vec_id") / 2)).alias("parent_id"))
-    shared_dir(spark)
     return incremental.symbol_closure(s.filter("id % 50 = 49"), s)
 
 

@@ -12,6 +12,7 @@ from lodestone.models import Embedder, Expander, Reranker, rerank_document
 from lodestone.operators import fusion, lexical, vectors
 from lodestone.operators.topology import chunk_children, chunk_parents, chunk_siblings, chunk_symbols, parent_context, range_label, summaries, without_repeated_parents
 from lodestone.options import Options, parse
+from lodestone.session import shared_dir
 
 
 @dataclass
@@ -50,6 +51,7 @@ def search(index: Index, query: str, embedder: Embedder | None, options: Options
     at them; wide columns are joined after the top k.
     """
     options = options or parse(None)
+    shared_dir(index.chunks.sparkSession)
     k = options["topK"] if k is None else k
     chunks, said = index.chunks, []
     budget = fusion.budgets(k, options.hybrid, options["rerankCandidateMultiplier"] if reranker else None, options["vectorCandidateMultiplier"], options["bm25CandidateMultiplier"], 3, options["maxVectorCandidates"], options["maxRerankCandidates"])
