@@ -174,33 +174,28 @@ def features(text: str, a: int, b: int) -> list[int]:
 
 
 def expectation_maximisation(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, float], np.ndarray]:
-    """P(private) of each vote pattern, and each labeler's rates: rates[labeler, class, vote (0, 1, -)].
+    """P(private) of each vote pattern, and each labeler's reliability: how often its votes are right.
 
-    Labelers are taken as independent given the class; the start is the share of votes for private, and
-    priors keep the classes from swapping.
+    Votes are right or wrong independently of each other. An abstention says nothing: several labelers
+    abstain or vote together by their making, and would outvote one that knows a format of its own. Without
+    votes either class is as likely. The start is the share of votes for private; a few votes given in
+    advance, four of five right, keep a labeler that hardly votes near its prior.
     """
     names = sorted(patterns)
     if not names:
-        return {}, np.empty((0, 2, 3))
-    v = np.array([["01-".index(c) for c in p] for p in names])
+        return {}, np.empty(0)
+    v = np.array([[{"0": -1.0, "1": 1.0, "-": 0.0}[c] for c in p] for p in names])
     n = np.array([patterns[p] for p in names], float)
-    p = np.array([(0.5 + s.count("1") * 2) / (1 + s.count("1") * 2 + s.count("0") * 2) if s.strip("-") else 0.1 for s in names])
-    one_hot = np.eye(3)[v]
-    rates = np.zeros((v.shape[1], 2, 3))
+    p = np.array([(1 + 2 * s.count("1")) / (2 + 2 * s.count("1") + 2 * s.count("0")) for s in names])
     for _ in range(rounds):
-        for c, q in ((0, 1 - p), (1, p)):
-            seen = np.einsum("i,ijk->jk", n * q, one_hot)
-            # A labeler's vote is worth a little in its own class before anything is seen.
-            prior = np.array([2.0, 0.5, 1.0]) if c == 0 else np.array([0.5, 2.0, 1.0])
-            rates[:, c] = (seen + prior) / (seen + prior).sum(axis=1, keepdims=True)
-        share = np.clip((n @ p + 1) / (n.sum() + 2), 1e-6, 1 - 1e-6)
-        odds = np.log(share / (1 - share)) + sum(np.log(rates[j, 1, v[:, j]] / rates[j, 0, v[:, j]]) for j in range(v.shape[1]))
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        right = (n[:, None] * ((v > 0) * p[:, None] + (v < 0) * (1 - p)[:, None])).sum(axis=0)
+        reliability = (right + 4) / ((n[:, None] * (v != 0)).sum(axis=0) + 5)
+        new = 1 / (1 + np.exp(-np.clip(v @ np.log(reliability / (1 - reliability)), -30, 30)))
         done = np.abs(new - p).max() < 1e-6
         p = new
         if done:
             break
-    return dict(zip(names, p.tolist())), rates
+    return dict(zip(names, p.tolist())), reliability
 
 
 def train(rows: list[tuple[list[int], float]], epochs: int = 200, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:

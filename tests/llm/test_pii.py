@@ -52,9 +52,9 @@ def test_em_finds_the_reliable_labeler():
         fair = str(int(y)) if rng.random() < 0.7 else "-"
         noise = rng.choice("01-")
         counts[good + fair + noise] = counts.get(good + fair + noise, 0) + 1
-    p, rates = pii.expectation_maximisation(counts)
+    p, reliability = pii.expectation_maximisation(counts)
     assert p["11-"] > 0.9 and p["00-"] < 0.1
-    assert rates[0, 1, 1] > 0.85 and abs(rates[2, 1, 1] - rates[2, 0, 1]) < 0.15
+    assert reliability[0] > 0.85 > reliability[2] and abs(reliability[2] - 0.5) < 0.15
 
 
 def test_report(spark):
