@@ -173,6 +173,7 @@ def meeting(entered: DataFrame, crowd: int | None, tau: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+        passed = None  # the key whose entries go on one by one, as there are too many to hold
 
         def batch_of(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], ["a", "b"])
@@ -209,14 +210,24 @@ def meeting(entered: DataFrame, crowd: int | None, tau: int) -> DataFrame:
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             columns = columns if held is None else [np.concatenate(x) for x in zip(held, columns)]
+            if passed is not None:
+                more = columns[0] >> 1 == passed
+                if more.any():
+                    yield batch_of(np.unique(columns[1][more]), None)
+                    columns = [c[~more] for c in columns]
             key = columns[0]
             if not len(key):
+                held = columns
                 continue
             other = np.flatnonzero((key >> 1) != (key[-1] >> 1))
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
                 yield from out([c[:cut] for c in columns])
             held = [c[cut:] for c in columns]
+            if crowd and len(held[0]) > crowd:
+                passed = held[0][0] >> 1
+                yield batch_of(np.unique(held[1]), None)
+                held = [c[:0] for c in held]
         if held is not None and len(held[0]):
             yield from out(held)
 
