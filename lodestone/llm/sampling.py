@@ -16,10 +16,15 @@ def fold(doc_id: Column, folds: int) -> Column:
 def sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
     """(doc_id, text, label): per label the per_label rows whose ids hash lowest.
 
-    Ranks are formed on ids alone, and each task passes on no more than per_label rows of a label.
+    Labels are counted first, and only ids whose hash is below what some four times per_label rows of the
+    label can be expected to have are ranked, so a ranking task holds no more than that of a label.
     """
     if per_label > BROADCAST_ROWS:
         raise ValueError("a sample is for fitting on the driver")
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id")
-    chosen = rows.select("doc_id", label).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_label).select("doc_id").distinct()
-    return rows.select("doc_id", "text", label).join(F.broadcast(chosen), "doc_id", "left_semi")
+    ids = rows.select("doc_id", F.col(label).alias("_label"), F.xxhash64("doc_id", F.lit(17)).alias("_hash"))
+    counts = ids.groupBy("_label").agg(F.count("*").alias("_n"))
+    share = F.least(F.lit(1.0), (4.0 * per_label + 100) / F.col("_n"))
+    low = ids.join(counts, "_label").filter(F.col("_hash").cast("double") <= share * 2.0**64 - 2.0**63)
+    order = Window.partitionBy("_label").orderBy("_hash", "doc_id")
+    chosen = low.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_label).select("doc_id").distinct()
+    return rows.select("doc_id", "text", label).join(F.broadcast(chosen), "doc_id", "left_semi")  # per_label ids of each label
