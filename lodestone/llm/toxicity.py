@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch
 from lodestone.llm.sampling import fold, sample
-from lodestone.llm.wordbpe import Memo, texts_of
+from lodestone.llm.wordbpe import MEMO, Memo, texts_of
 
 FOLDS, HELD_OUT = 3, 1
 PER_LABEL, EVIDENCE = 1_500, 20_000
@@ -226,6 +226,32 @@ def train(sequences: list[tuple[list[list[int]], list[int], list[int]]], epochs:
     return Chain(own, left, right, move)
 
 
+class WordTable:
+    """Of each word its bin, its emission, and what it adds to its neighbours'; started anew between texts when large."""
+
+    def __init__(self, model: ToxicityModel):
+        self.model = model
+        self._restart()
+
+    def _restart(self) -> None:
+        self.table, self.places = np.empty((1 << 12, 4)), Memo(self._made, 1 << 62)
+
+    def _made(self, word: str) -> int:
+        at = len(self.places)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        chain, b = self.model.chain, bin_of(word, self.model.odds, self.model.base)
+        self.table[at] = b, chain.own[features(word, b)].sum(), chain.left[b], chain.right[b]
+        return at
+
+    def rows_of(self, token_lists: list[list[str]]) -> np.ndarray:
+        if len(self.places) > MEMO:
+            self._restart()
+        look_up = self.places.__getitem__
+        places = np.fromiter((i for t in token_lists for i in map(look_up, t)), np.int64, sum(map(len, token_lists)))
+        return self.table[places]
+
+
 @dataclass
 class ToxicityModel:
     odds: dict[str, float]
@@ -234,17 +260,13 @@ class ToxicityModel:
     #: Of the score: constant, weight of the highest marginal, weight of the logarithm of 1 + their sum.
     score: np.ndarray
 
-    def words(self) -> Memo:
-        def made(word: str) -> tuple[int, float, float, float]:
-            b = bin_of(word, self.odds, self.base)
-            return b, float(self.chain.own[features(word, b)].sum()), float(self.chain.left[b]), float(self.chain.right[b])
-
-        return Memo(made)
+    def words(self) -> WordTable:
+        return WordTable(self)
 
-    def tag(self, token_lists: list[list[str]], words: Memo) -> list[np.ndarray]:
+    def tag(self, token_lists: list[list[str]], words: WordTable) -> list[np.ndarray]:
         """Marginals of the tokens of each text."""
         sizes = [len(t) for t in token_lists]
-        rows = np.array([words[w] for t in token_lists for w in t]).reshape(-1, 4)
+        rows = words.rows_of(token_lists)
         starts = np.cumsum([0, *sizes])[:-1]
         filled = np.unique(starts[np.array(sizes, int) > 0]) if len(rows) else np.empty(0, int)
         outside = len(BINS) + 1
