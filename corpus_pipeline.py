@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, linededup, quality, simhash
+from lodestone.llm import bpe, decontaminate, linededup, neardup, quality
 from lodestone.llm.common import Scratch, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -32,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_one(docs, _scratch(spark))
+    """One document of each group of near copies, by five-word shingles at a similarity of 0.8."""
+    return neardup.keep_one(docs, _scratch(spark))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -221,7 +221,11 @@ def report(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def keep_one(docs: DataFrame, scratch: Scratch, shingle: int = 3) -> DataFrame:
     """One document of each group: that with the smallest doc_id (of equal ids, any one)."""
-    found = scratch.keep(groups(docs.select("doc_id", "text"), scratch, shingle), "groups")
+    return keep_first(docs, scratch.keep(groups(docs.select("doc_id", "text"), scratch, shingle), "groups"), scratch)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents that name their group. found: doc_id, component_id."""
     chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     by_id = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
     dropped = small(scratch.keep(by_id.filter("not stays").select(F.col("doc_id").alias("r_doc_id")), "dropped"))
