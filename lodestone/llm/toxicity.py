@@ -52,15 +52,15 @@ def parts(word: str) -> list[str]:
     return [f"={word}"] + [f"^{word[:n]}" for n in range(3, 9) if len(word) > n]
 
 
-def one_of_each_family(training: DataFrame) -> DataFrame:
+def one_of_each_copy(training: DataFrame) -> DataFrame:
     """Training documents without copies, which would make every word of a copied document evidence.
 
-    Documents of one label whose word sets have the same smallest and largest hash are a family, as
-    copies and most near copies are; the one with the smallest doc_id stands for it.
+    Documents of one label with the same words in the same order are copies; the one with the smallest
+    doc_id stands for them.
     """
-    hashes = F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
-    families = training.select("doc_id", "toxic", F.array_min(hashes).alias("low"), F.array_max(hashes).alias("high"))
-    return training.join(families.groupBy("toxic", "low", "high").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "doc_id", "left_semi")
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
+    texts = training.select("doc_id", "toxic", F.md5(F.array_join(F.array_remove(words, ""), " ").cast("binary")).alias("same"))
+    return training.join(texts.groupBy("toxic", "same").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "doc_id", "left_semi")
 
 
 def evidence(training: DataFrame) -> dict[str, float]:
@@ -302,7 +302,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, per_label: int = PER_LABEL) -> ToxicityModel | None:
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     training = docs.select("doc_id", "text").join(marks.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT), "doc_id").select("doc_id", "text", "toxic")
-    training = scratch.keep(one_of_each_family(training), "training")
+    training = scratch.keep(one_of_each_copy(training), "training")
     rows = sorted(sample(training, "toxic", per_label).collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"] or ""))
     if len({r["toxic"] for r in rows}) < 2:
         return None

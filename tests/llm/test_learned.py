@@ -130,3 +130,15 @@ def test_toxicity_without_labels(spark):
     docs, none = frame(spark, odd_rows()), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {(r["score"], r["predicted"]) for r in toxicity.report(docs, none, Scratch(spark, "t")).collect()} == {(0.0, 0)}
     assert toxicity.report(frame(spark, []), none, Scratch(spark, "t")).count() == 0
+
+
+def test_toxic_evidence_counts_all_different_texts(spark, monkeypatch):
+    """Texts of the same words in other orders have the same extremes of word hashes, and are no copies."""
+    rng, words = random.Random(4), [f"word{i}" for i in range(30)]
+    texts = [" ".join(rng.sample(words, 30)) for _ in range(40)]
+    rows = [(i, t, "en", "a") for i, t in enumerate([x for t in texts for x in (t, f" {t.upper()}!")])]
+    counted = []
+    monkeypatch.setattr(toxicity, "evidence", lambda training: counted.extend(r["text"].lower().strip(" !") for r in training.collect()) or {})
+    toxicity.fit(frame(spark, rows), spark.createDataFrame([(r[0], r[0] // 2 % 2) for r in rows], "doc_id long, toxic long"), Scratch(spark, "t"))
+    learned = {t.lower().strip(" !") for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert sorted(counted) == sorted(learned)
