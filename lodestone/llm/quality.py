@@ -2,18 +2,14 @@
 
 Two kinds of rule. *Text rules* look at one document: too few words, or too many words in
 8-word windows that the document repeats. The *line rule* looks across documents: every line is
-normalised and hashed, the documents that hold it are counted per host (``source``), and lines above
-the limit are removed as boilerplate; a document that this leaves with too little is rejected as
-depleted.
-
-A line of a much-copied document is in many documents too, though it is no boilerplate. So the count
-also has the number of *families* of documents, told apart by their smallest and largest line hash:
-copies and near copies share a family, pages of one template don't. A line counts as boilerplate
-only if the families are at least half the documents.
+normalised and hashed, the distinct documents that hold it are counted per host (``source``), and lines
+above the limit are removed as boilerplate; a document that this leaves with too little is rejected as
+depleted. Documents are distinct if the hashes of all their normalised lines, in order, are: a document
+copied a thousand times counts once, and so does a row that is repeated.
 
 Defined results: a null text has no words and no lines (base_failed, not kept); a null host is a host
-of its own; repeated rows count as so many documents and get the same verdict; very long texts are
-taken whole; an empty table gives an empty result; other columns are carried through untouched.
+of its own; repeated rows get the same verdict; very long texts are taken whole; an empty table gives
+an empty result; other columns are carried through untouched.
 """
 
 from __future__ import annotations
@@ -39,8 +35,6 @@ class QualityRules:
     max_repeat_percent: int = 30
     #: A line in more documents of a host than this is boilerplate.
     max_documents: int = 20
-    #: Per cent of a line's documents that must be of different families.
-    min_families_percent: int = 50
     #: A document keeps at least so many words, and so many per cent of its words, or is rejected.
     min_left_words: int = 5
     min_left_percent: int = 30
@@ -124,33 +118,31 @@ def line_hash(line: Column) -> Column:
 
 
 def _with_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text), host and items: position, hash and words of each line with a word."""
+    """The frame with key (of the text), host, form (of all lines) and items: position, hash and words of each line with a word."""
     line = F.transform("_norm", lambda x, i: F.struct(i.alias("at"), F.when(x != "", line_hash(x)).alias("hash"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n")))
     return (
-        docs.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce("source", F.lit("")).alias("host"), normalised_lines(F.col("text")).alias("_norm"))
+        docs.withColumn("key", F.xxhash64("text")).withColumn("host", F.coalesce("source", F.lit(""))).withColumn("_norm", normalised_lines(F.col("text")))
         .withColumn("items", F.filter(line, lambda x: x["hash"].isNotNull()))
+        .withColumn("form", line_hash(F.array_join(F.transform("items", lambda x: x["hash"].cast("string")), ",")))
         .drop("_norm")
     )
 
 
-def frequent_lines(docs: DataFrame, rules: QualityRules) -> DataFrame:
-    """(host, hash, n_docs, n_families) of the lines above the limit.
+def frequent_lines(lined: DataFrame, rules: QualityRules) -> DataFrame:
+    """(host, hash, n_docs) of the lines above the limit.
 
-    A document gives each of its lines once, so documents are counted without a distinct count; the
-    sums are formed map-side, so neither a hot host nor a hot line meets in one task.
+    A distinct document gives each of its lines once, so documents are counted without a distinct count;
+    copies and counts are folded map-side, so neither a hot host nor a hot line meets in one task.
     """
-    hashes = _with_lines(docs).select("host", F.array_distinct(F.transform("items", lambda x: x["hash"])).alias("hashes"))
-    by_family = hashes.select("host", F.explode("hashes").alias("hash"), F.array_min("hashes").alias("low"), F.array_max("hashes").alias("high")).groupBy("host", "hash", "low", "high").count()
-    return (
-        by_family.groupBy("host", "hash")
-        .agg(F.sum("count").alias("n_docs"), F.count("*").alias("n_families"))
-        .filter((F.col("n_docs") > rules.max_documents) & (100 * F.col("n_families") >= rules.min_families_percent * F.col("n_docs")))
-    )
+    hashes = F.array_distinct(F.transform("items", lambda x: x["hash"]))
+    distinct = lined.filter(F.size("items") > 0).select("host", "form", hashes.alias("hashes")).groupBy("host", "form").agg(F.first("hashes").alias("hashes"))
+    counted = distinct.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n_docs"))
+    return counted.filter(F.col("n_docs") > rules.max_documents)
 
 
-def removals(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+def removals(lined: DataFrame, frequent: DataFrame) -> DataFrame:
     """(doc_id, key, host, removed_words, removed_at) of documents with lines to remove."""
-    lines = _with_lines(docs).select("doc_id", "key", "host", F.explode("items").alias("item")).select("doc_id", "key", "host", "item.*")
+    lines = lined.select("doc_id", "key", "host", F.explode("items").alias("item")).select("doc_id", "key", "host", "item.*")
     hits = lines.join(frequent.select("host", "hash"), ["host", "hash"], "left_semi")
     return (
         hits.groupBy("doc_id", "key", "host", "at").agg(F.max("n").alias("n"))  # repeated rows once
@@ -160,10 +152,10 @@ def removals(docs: DataFrame, frequent: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, scratch: Scratch, rules: QualityRules = QualityRules(), places: bool = False) -> DataFrame:
     """Per document doc_id, key, host, the text rules' figures, removed_words and kept; with places also r_removed_at."""
-    docs = docs.select("doc_id", "text", "source")
-    frequent = scratch.keep(frequent_lines(docs, rules), "frequent_lines")
-    removed = scratch.keep(removals(docs, small(frequent)), "removals")
-    judged = text_rules(docs, rules).withColumn("key", F.xxhash64("text")).withColumn("host", F.coalesce("source", F.lit(""))).drop("text", "source")
+    lined = scratch.keep(_with_lines(text_rules(docs.select("doc_id", "text", "source"), rules)).drop("text", "source"), "lined")
+    frequent = scratch.keep(frequent_lines(lined, rules), "frequent_lines")
+    removed = scratch.keep(removals(lined, small(frequent)), "removals")
+    judged = lined.drop("items", "form")
     removed = small(removed if places else removed.drop("removed_at"))
     r = removed.select(*[F.col(c).alias(f"r_{c}") for c in removed.columns])
     joined = judged.join(r, F.col("doc_id").eqNullSafe(F.col("r_doc_id")) & (F.col("key") == F.col("r_key")) & (F.col("host") == F.col("r_host")), "left")
@@ -202,11 +194,10 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id,
 base AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
   CAST(len(regexp_extract_all(text, '{SYMBOLS}')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words
   FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cover USING (doc_id)),
-lines AS (SELECT doc_id, host, trim(line, ' ') AS line FROM (SELECT doc_id, host, unnest(string_split(lower(regexp_replace(regexp_replace(text, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')), chr(10))) AS line FROM d)),
-hashed AS (SELECT doc_id, host, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS hash, length(line) - length(replace(line, ' ', '')) + 1 AS n FROM lines WHERE line <> ''),
-family AS (SELECT doc_id, min(hash) AS low, max(hash) AS high FROM hashed GROUP BY doc_id),
-freq AS (SELECT host, hash FROM (SELECT DISTINCT doc_id, host, hash, low, high FROM hashed JOIN family USING (doc_id)) GROUP BY host, hash
-  HAVING count(*) > 20 AND 100 * count(DISTINCT (low, high)) >= 50 * count(*)),
+lines AS (SELECT doc_id, host, pos, trim(line, ' ') AS line FROM (SELECT doc_id, host, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(lower(regexp_replace(regexp_replace(text, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')), chr(10))) AS line FROM d)),
+hashed AS (SELECT doc_id, host, pos, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS hash, length(line) - length(replace(line, ' ', '')) + 1 AS n FROM lines WHERE line <> ''),
+form AS (SELECT doc_id, md5(string_agg(CAST(hash AS VARCHAR), ',' ORDER BY pos)) AS form FROM hashed GROUP BY doc_id),
+freq AS (SELECT host, hash FROM hashed JOIN form USING (doc_id) GROUP BY host, hash HAVING count(DISTINCT form) > 20),
 gone AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM hashed JOIN freq USING (host, hash) GROUP BY doc_id)
 SELECT base.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(gone.n, 0) AS removed_words,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
