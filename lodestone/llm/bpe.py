@@ -1,10 +1,12 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
 First all documents' pieces are counted (partial counts per task, summed by a shuffle on the piece);
-the ``LEXICON`` most frequent are compiled, with their ids as outputs, into one automaton (see
-``wordbpe``). Its bytes are broadcast, a few hundred kB at most for that number of pieces, and each
-worker reads them through a memory map. Encoding looks pieces up there and merges unseen ones exactly,
-so the lexicon's size changes the time and not the result.
+the most frequent, ``LEXICON`` at most, are compiled, with their ids as outputs, into one automaton (see
+``wordbpe``). Which these are is settled on the executors: a histogram of the counts gives the least
+count that stays within that number, and only pieces from that count on go to the driver. The automaton's
+bytes are broadcast, a few hundred kB at most for that number of pieces, and each worker reads them
+through a memory map. Encoding looks pieces up there and merges unseen ones exactly, so the lexicon's
+size changes the time and not the result.
 
 Defined results: a null text counts as empty and has no ids; the strings of the tokenizer's special
 tokens become their ids, as in the library; repeated rows each give their row; very long texts are
@@ -17,16 +19,20 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import Scratch
 from lodestone.llm.wordbpe import MEMO, Lexicon, Memo, WordBpe, texts_of, tokenizer
 
-#: Pieces in the lexicon.
-LEXICON = 32_768
+#: Pieces in the lexicon at most, and classes of the histogram per doubling of a count.
+LEXICON, CLASSES = 32_768, 16
+#: Bytes of a piece in the lexicon at most; longer ones are always merged.
+PIECE_BYTES = 64
 #: Distinct pieces that a task counts before it passes its partial counts on.
 PARTIAL = 200_000
 
@@ -51,9 +57,23 @@ def piece_counts(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> bytes:
-    """The automaton of the most frequent pieces (ties: the smaller piece)."""
-    top = piece_counts(docs, path).orderBy(F.desc("n"), "piece").limit(size).collect()  # bounded by size
+def frequent_pieces(counts: DataFrame, size: int) -> DataFrame:
+    """(piece) of written counts: those of the highest classes of counts that have no more than ``size`` pieces together."""
+    of_class = F.floor(F.log2(F.col("n")) * CLASSES).alias("class")
+    fits = counts.filter((F.col("n") > 0) & (F.octet_length("piece") <= PIECE_BYTES))
+    histogram = fits.groupBy(of_class).agg(F.count("*").alias("pieces")).orderBy(F.desc("class")).collect()  # CLASSES rows a bit of a long
+    least, total = None, 0
+    for row in histogram:
+        total += row["pieces"]
+        if total > size:
+            break
+        least = row["class"]
+    return fits.filter(F.lit(False) if least is None else of_class >= least).select("piece")
+
+
+def build_lexicon(docs: DataFrame, path: str, scratch: Scratch, size: int = LEXICON) -> bytes:
+    """The automaton of the most frequent pieces."""
+    top = frequent_pieces(scratch.keep(piece_counts(docs, path), "piece_counts"), size).collect()  # size pieces at most
     bpe = tokenizer(path)
     return Lexicon.compile({r["piece"]: bpe.merge(r["piece"]) for r in top if r["piece"]})
 
@@ -61,20 +81,14 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> bytes:
 def ids_of(lexicon: Lexicon, bpe: WordBpe, piece: str) -> list[int]:
     """From the lexicon; of a piece that isn't there, by merging."""
     found = lexicon.find(piece) if piece not in bpe.special else None
-    return bpe.library_ids(piece) if found is None else found
+    return bpe.merge(piece) if found is None else found
 
 
 @lru_cache(1)
 def lexicon_memo(path: str, lexicon: bytes) -> Memo:
-    """A worker's pieces with their ids and tokens, as decimals and as text; kept from task to task."""
+    """A worker's pieces with their ids; kept from task to task."""
     bpe, lex = tokenizer(path), Lexicon(lexicon)
-    tokens = bpe.tokens
-
-    def made(piece: str) -> tuple[bytes, bytes]:
-        ids = ids_of(lex, bpe, piece)
-        return " ".join(map(str, ids)).encode(), " ".join([tokens[i] for i in ids]).encode()
-
-    return Memo(made, MEMO // 2)
+    return Memo(lambda piece: tuple(ids_of(lex, bpe, piece)), MEMO // 2)
 
 
 def encode(docs: DataFrame, path: str, lexicon: bytes) -> DataFrame:
@@ -106,26 +120,23 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, lexicon: bytes) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoding each text and decoding its ids.
-
-    Both run in one pass: a piece's ids, as decimals, and the tokens that they decode to are looked up together.
-    """
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoding each text to its ids and decoding those."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, looked_up = tokenizer(path), lexicon_memo(path, shared.value).__getitem__
+        decimal, token = [str(i) for i in range(len(bpe.tokens))].__getitem__, bpe.tokens.__getitem__
         for doc_ids, texts in texts_of(batches):
             n, ids_sha, decoded_sha = [], [], []
             for text in texts:
-                both = list(map(looked_up, bpe.pieces(text)))
-                ids = b" ".join([x for x, _ in both])
-                n.append(ids.count(b" ") + 1 if ids else 0)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                decoded_sha.append(hashlib.sha256(b" ".join([y for _, y in both])).hexdigest())
+                ids = list(chain.from_iterable(map(looked_up, bpe.pieces(text))))
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
+                decoded_sha.append(hashlib.sha256(" ".join(map(token, ids)).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def report(docs: DataFrame, path: str) -> DataFrame:
-    return digests(docs, path, build_lexicon(docs, path))
+def report(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
+    return digests(docs, path, build_lexicon(docs, path, scratch))

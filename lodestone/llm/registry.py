@@ -46,7 +46,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.report(table(spark, sf_dir, "documents"), TOKENIZER)
+    return bpe.report(table(spark, sf_dir, "documents"), TOKENIZER, Scratch(spark, "op8"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

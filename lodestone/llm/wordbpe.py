@@ -13,6 +13,7 @@ read through a memory map.
 from __future__ import annotations
 
 import json
+import heapq
 import mmap
 import re
 import sys
@@ -28,6 +29,8 @@ SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 #: Entries of a worker's memo of pieces, before it starts anew.
 MEMO = 400_000
 BYTES = [bytes([b]) for b in range(256)]
+#: Bytes of a piece from which on it is merged by a heap; the rank of a pair that isn't merged.
+LONG_PIECE, NEVER = 64, 1 << 62
 
 
 def _latin(kind: str) -> str:
@@ -66,6 +69,7 @@ class WordBpe:
         for token, i in (self.ids | self.special).items():
             self.tokens[i] = token
         self.letters = byte_letters()
+        self.inner, self.last = ([self.ids[c + end] for c in self.letters] for end in ("", "</w>"))
         self.bytes = {c: b for b, c in enumerate(self.letters)}
 
     def pieces(self, text: str) -> list[str]:
@@ -88,31 +92,52 @@ class WordBpe:
         return [bytes(map(self.bytes.__getitem__, piece)).decode("utf-8") for piece, _ in split]
 
     @cached_property
-    def ranks(self) -> dict[tuple[str, str], int]:
-        """Pairs by rank; workers merge by the library's model and don't need them."""
-        return {tuple(pair): i for i, pair in enumerate(json.load(open(self.path, encoding="utf-8"))["model"]["merges"])}
+    def merges(self) -> dict[int, int]:
+        """Of a pair (left id, right id, in 16 bits each) its rank and, in the low 16 bits, the id of what it gives."""
+        pairs = json.load(open(self.path, encoding="utf-8"))["model"]["merges"]
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in pairs]
+        return {self.ids[a] << 16 | self.ids[b]: rank << 16 | self.ids[a + b] for rank, (a, b) in enumerate(pairs)}
 
     def merge(self, piece: str) -> list[int]:
         """Ids of a piece: of all neighbouring pairs the one with the lowest rank is merged, leftmost first, until none has a rank."""
         if piece in self.special:
             return [self.special[piece]]
-        parts = [self.letters[b] for b in piece.encode("utf-8")]
-        parts[-1] += "</w>"
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda pair: ranks.get(pair, 1 << 60))
-            if best not in ranks:
-                break
-            joined, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == best[0] and parts[i + 1] == best[1]:
-                    joined.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    joined.append(parts[i])
-                    i += 1
-            parts = joined
-        return [self.ids[p] for p in parts]
+        data = piece.encode("utf-8")
+        parts = list(map(self.inner.__getitem__, data))
+        parts[-1] = self.last[data[-1]]
+        if len(parts) > LONG_PIECE:
+            return self._merge_long(parts)
+        rank = self.merges.get
+        ranks = [rank(a << 16 | b, NEVER) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) != NEVER:
+            at = ranks.index(best)
+            parts[at : at + 2] = (best & 0xFFFF,)
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] << 16 | parts[at], NEVER)
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] << 16 | parts[at + 1], NEVER)
+        return parts
+
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """The same by a heap of pairs and links to the neighbours, in n log n steps."""
+        n, rank = len(parts), self.merges.get
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(r, i) for i in range(n - 1) if (r := rank(parts[i] << 16 | parts[i + 1], NEVER)) != NEVER]
+        heapq.heapify(heap)
+        while heap:
+            best, i = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] < 0 or j < 0 or rank(parts[i] << 16 | parts[j], NEVER) != best:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = best & 0xFFFF, -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b >= 0 and (r := rank(parts[a] << 16 | parts[b], NEVER)) != NEVER:
+                    heapq.heappush(heap, (r, a))
+        return [p for p in parts if p >= 0]
 
     def library_ids(self, piece: str) -> list[int]:
         """Ids of a piece by the library's model."""
