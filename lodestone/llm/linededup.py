@@ -1,8 +1,8 @@
 """Line dedup: a segment-partition edit join over the lines of all documents.
 
-Lines (without blanks at their ends) of ``MIN_CHARS`` characters or more fall into *classes* of equal
-text, told apart by two 64-bit hashes. Two classes are linked if their texts are within ``TAU`` edits.
-An occurrence of a line is dropped if it isn't the first of its class (by doc_id, then line number), or
+Lines (without blanks at their ends) with a character left fall into *classes* of equal text, told apart
+by two 64-bit hashes. Two classes of ``MIN_CHARS`` characters or more are linked if their texts are within
+``TAU`` edits; in shorter lines so many edits make another line, and only equal ones are repeats. An occurrence of a line is dropped if it isn't the first of its class (by doc_id, then line number), or
 if its class is linked to a class that begins earlier.
 
 The join: a line of length L is cut into tau + 1 segments. Whatever is within tau edits has one of them
@@ -13,10 +13,12 @@ of their characters' counts first, which discard most pairs that are further apa
 linked pairs leave a key; these are verified by banded bit-parallel edit distance, many pairs in step. A
 key where too many meet for that (half a passage that very many lines share) gives no pairs: its lines
 are entered again in ``FINER`` segments, of which all but tau have to agree, which leaves together only
-lines that differ in the same small stretches.
+lines that differ in the same small stretches. Lines that are still crowded (numbered rows of a template)
+are entered by all that deleting up to tau characters makes of them, which brings together only what is
+within 2 tau edits, so that what is compared grows with what is linked. Only of lines of more than
+``DELETED_CHARS`` characters that agree in all but tau of the finest segments all are compared in place.
 
-Defined results: null and empty texts have no lines; lines shorter than MIN_CHARS are never dropped nor
-compared; rows that repeat a doc_id with the same text are the same lines; a null doc_id comes first; very
+Defined results: null and empty texts, and blank lines, have no row; rows that repeat a doc_id with the same text are the same lines; a null doc_id comes first; very
 long lines and texts are taken whole; empty tables give empty results; other columns are carried through.
 """
 
@@ -33,8 +35,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import BLANKS, Scratch
 
 TAU, MIN_CHARS = 2, 24
-#: Segments for the lines of keys with more than CROWD pairs to compare; after the last there is no such limit.
+#: Segments for the lines of keys with more than CROWD pairs to compare.
 FINER, CROWD = (8, 24), 4_000_000
+#: Characters of a line up to which it can be entered by deletions, and variants that are made at once.
+DELETED_CHARS, VARIANTS = 512, 1 << 20
 #: Ids (a long each) up to which a set is broadcast.
 SET_ROWS = 1_000_000
 #: Characters of lines that are keyed at once, and distinct lines that a task remembers.
@@ -119,6 +123,26 @@ def entries(lines: list[str], ids: np.ndarray, k: int, tau: int) -> tuple[np.nda
     return np.concatenate(keys).view(np.int64), ids[np.concatenate(owners)]
 
 
+def deletions(lines: list[str], ids: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, id) for each way to delete up to tau characters of a line."""
+    sub, keys, owners = Substrings(lines), [], []
+    for line, (start, size) in enumerate(zip(sub.starts.tolist(), sub.sizes.tolist())):
+        for n in range(min(tau, size) + 1):
+            at = np.zeros((1, 0), np.int64)
+            for _ in range(n):  # ascending places
+                free = size - 1 - (at[:, -1] if at.shape[1] else np.full(1, -1))
+                last = np.repeat(size - free, free) + np.arange(free.sum()) - np.repeat(np.cumsum(free) - free, free)
+                at = np.column_stack([np.repeat(at, free, axis=0), last])
+            h, before = np.zeros(len(at), np.uint64), np.full(len(at), start, np.int64)
+            for k in range(n + 1):
+                end = start + at[:, k] if k < n else np.full(len(at), start + size, np.int64)
+                h += (sub.sums[end] - sub.sums[before]) * sub.back[start + k]
+                before = end + 1
+            keys.append(mix(h ^ np.uint64(size - n)))
+            owners.append(np.full(len(at), line, np.int64))
+    return np.concatenate(keys).view(np.int64), ids[np.concatenate(owners)]
+
+
 def parities(lines: list[str]) -> np.ndarray:
     """Per line, as bits by hash, whether each character (low half) and each pair of characters (high half) occurs an odd number of times.
 
@@ -135,22 +159,28 @@ def parities(lines: list[str]) -> np.ndarray:
 
 
 def keyed(lines: DataFrame, k: int, tau: int) -> DataFrame:
-    """(key, id, mark) of lines (id, line), mark being their parities; a line that the task has just keyed is passed over."""
+    """(key, id, mark) of lines (id, line), mark being their parities; by k segments, or by deletions if k is 0.
+
+    A line that the task has just keyed is passed over.
+    """
+
+    def cost(text: str) -> int:
+        return max(1, len(text) ** tau // 2) * CHARS // VARIANTS if k == 0 else len(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        per = max(1, CHARS // (1 if k == tau + 1 else k))
+        seen: set[tuple[int, int]] = set()
+        per = CHARS if k in (0, tau + 1) else max(1, CHARS // k)
         for batch in batches:
             ids, texts, size = [], [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if i in seen:
+                if (i, hash(text)) in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
-                seen.add(i)
+                seen.add((i, hash(text)))
                 ids.append(i)
                 texts.append(text)
-                size += len(text)
+                size += cost(text)
                 if size >= per:
                     yield made(ids, texts)
                     ids, texts, size = [], [], 0
@@ -158,15 +188,18 @@ def keyed(lines: DataFrame, k: int, tau: int) -> DataFrame:
                 yield made(ids, texts)
 
     def made(ids: list[int], texts: list[str]) -> pa.RecordBatch:
-        keys, owners = entries(texts, np.arange(len(ids)), k, tau)
+        everyone = np.arange(len(ids))
+        keys, owners = entries(texts, everyone, k, tau) if k else deletions(texts, everyone, tau)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, np.array(ids, np.int64)[owners], parities(texts)[owners])], ["key", "id", "mark"])
 
     return lines.mapInArrow(run, "key long, id long, mark long")
 
 
-def meeting(entered: DataFrame, crowd: int | None, tau: int) -> DataFrame:
+def meeting(entered: DataFrame, crowd: int | None, tau: int, sides: bool = True) -> DataFrame:
     """(a, b): ids, a < b, of an index entry and a probe with one key; or (id, null) where more than ``crowd`` such pairs meet.
 
+    Without sides any two entries with one key meet.
+
     Pairs whose parities tell that they are further apart are left out.
     """
     low = np.uint64(0xFFFFFFFF)
@@ -185,7 +218,7 @@ def meeting(entered: DataFrame, crowd: int | None, tau: int) -> DataFrame:
             starts = np.append(0, np.flatnonzero(np.diff(key >> 1)) + 1)
             sizes = np.diff(np.append(starts, len(key)))
             probes = np.add.reduceat(key & 1, starts)
-            wanted = (probes > 0) & (probes < sizes)
+            wanted = (probes > 0) & (probes < sizes) if sides else sizes > 1
             large = wanted & (probes * (sizes - probes) > crowd) if crowd else np.zeros(len(sizes), bool)
             hot = np.repeat(large, sizes)
             if hot.any():
@@ -196,7 +229,7 @@ def meeting(entered: DataFrame, crowd: int | None, tau: int) -> DataFrame:
             while len(at):
                 at = at[at + lag < len(key)]
                 at = at[(key[at] >> 1) == (key[at + lag] >> 1)]
-                pair = at[((key[at] & 1) != (key[at + lag] & 1)) & (ids[at] != ids[at + lag])]
+                pair = at[(((key[at] & 1) != (key[at + lag] & 1)) | (not sides)) & (ids[at] != ids[at + lag])]
                 odd = (marks[pair] ^ marks[pair + lag]).view(np.uint64)
                 pair = pair[(np.bitwise_count(odd & low) <= 2 * tau) & (np.bitwise_count(odd >> np.uint64(32)) <= 4 * tau)]
                 found.append(np.sort(np.stack([ids[pair], ids[pair + lag]], axis=1), axis=1))
@@ -307,9 +340,9 @@ def verified(pairs: DataFrame, tau: int) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, at, line, id, id2): the lines of MIN_CHARS or more; key is of the text, id and id2 of the line."""
+    """(doc_id, key, at, line, id, id2): the lines with a character; key is of the text, id and id2 of the line."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("at"), F.btrim(x, F.lit(BLANKS)).alias("line")))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.filter(lines, lambda x: F.length(x["line"]) >= MIN_CHARS)).alias("x")).select("doc_id", "key", "x.*")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.filter(lines, lambda x: x["line"] != "")).alias("x")).select("doc_id", "key", "x.*")
     return rows.withColumn("id", F.xxhash64("line")).withColumn("id2", F.xxhash64(F.lit(7), "line"))
 
 
@@ -324,16 +357,23 @@ def links(docs: DataFrame, scratch: Scratch, tau: int = TAU) -> DataFrame:
     Texts are fetched once, for the lines of pairs and of crowded keys; what is entered again in finer
     segments is taken from those.
     """
-    first = scratch.keep(meeting(keyed(lines_of(docs).select("id", "line"), tau + 1, tau), CROWD, tau).distinct(), "met_0")
+    lines = lines_of(docs).filter(F.length("line") >= MIN_CHARS)
+    first = scratch.keep(meeting(keyed(lines.select("id", "line"), tau + 1, tau), CROWD, tau).distinct(), "met_0")
     pairs, crowded = first.filter("b is not null"), first.filter("b is null").select(F.col("a").alias("id"))
     needed = scratch.keep(first.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
-    texts = scratch.keep(lines_of(docs).select("id", "id2", "line").join(_bounded(needed), "id", "left_semi").groupBy("id", "id2").agg(F.first("line").alias("line")), "texts")
-    for level, k in enumerate(FINER, 1):
+    texts = scratch.keep(lines.select("id", "id2", "line").join(_bounded(needed), "id", "left_semi").groupBy("id", "id2").agg(F.first("line").alias("line")), "texts")
+    for k in FINER:
         if crowded.isEmpty():
             break
-        lines = texts.select("id", "line").join(_bounded(crowded), "id", "left_semi")
-        met = scratch.keep(meeting(keyed(lines, k, tau), CROWD if level < len(FINER) else None, tau).distinct(), f"met_{level}")
+        again = texts.select("id", "line").join(_bounded(crowded), "id", "left_semi")
+        met = scratch.keep(meeting(keyed(again, k, tau), CROWD, tau).distinct(), f"met_{k}")
         pairs, crowded = pairs.unionByName(met.filter("b is not null")), met.filter("b is null").select(F.col("a").alias("id"))
+    if not crowded.isEmpty():
+        again = texts.select("id", "line").join(_bounded(crowded), "id", "left_semi")
+        # Of two lines within tau edits either both are short enough for deletions, or both are longer than DELETED_CHARS.
+        short = meeting(keyed(again.filter(F.length("line") <= DELETED_CHARS + tau), 0, tau), None, tau, sides=False)
+        long = meeting(keyed(again.filter(F.length("line") > DELETED_CHARS), FINER[-1], tau), None, tau)
+        pairs = pairs.unionByName(scratch.keep(short.unionByName(long).distinct(), "met_crowds"))
     one, two = (texts.select(F.col("id").alias(n), F.col("id2").alias(f"{n}2"), F.col("line").alias(side)) for n, side in (("a", "left"), ("b", "right")))
     near = scratch.keep(verified(pairs.distinct().join(one, "a").join(two, "b"), tau), "links")
     names = ("id", "id2", "other", "other2")

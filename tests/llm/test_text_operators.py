@@ -5,8 +5,10 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -59,10 +61,9 @@ def naive_quality(rows, rules=quality.QualityRules()):
     docs = [[norm(x) for x in (t or "").split("\n")] for _, t, *_ in rows]
     where = {}
     for (_, _, _, host), lines in zip(rows, docs):
-        own = {h(x) for x in lines if x}
-        for x in own:
-            where.setdefault((host or "", x), []).append((min(own), max(own)))
-    frequent = {k for k, v in where.items() if len(v) > rules.max_documents and 100 * len(set(v)) >= rules.min_families_percent * len(v)}
+        for x in filter(None, lines):
+            where.setdefault((host or "", h(x)), set()).add(tuple(filter(None, lines)))
+    frequent = {k for k, v in where.items() if len(v) > rules.max_documents}
     out = []
     for (i, t, _, host), lines in zip(rows, docs):
         base = naive_base(t)
@@ -84,6 +85,34 @@ def test_quality_equals_plain_version(spark):
     assert any(e[-2] for e in expected) and any(not e[-1] and not e[-3] for e in expected)
 
 
+def run_sql(sql, rows):
+    docs = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string()), "source": pa.array([r[3] for r in rows], pa.string())})
+    with duckdb.connect() as db:
+        db.register("documents", docs)
+        return db.sql(sql).fetchall()
+
+
+def test_pages_of_a_template_lose_the_lines_they_share(spark):
+    rng = random.Random(8)
+    menu = [prose(rng, 6) for _ in range(10)]
+    rows = [(i, "\n".join([*menu, f"own line of page {prose(rng, 4, 10_000)}"]), "en", "shop") for i in range(200)]
+    rows += [(200 + i, "\n".join(prose(rng, 8) for _ in range(6)), "en", "shop") for i in range(5)]
+    rows += [(300 + i, rows[200][1], "en", "shop") for i in range(60)]  # copies of one document are one document
+    got = {r["doc_id"]: r for r in quality.judge(frame(spark, rows), Scratch(spark, "t")).collect()}
+    assert all(got[i]["removed_words"] == 60 and not got[i]["kept"] for i in range(200))
+    assert all(got[i]["removed_words"] == 0 and got[i]["kept"] for i in [*range(200, 205), *range(300, 360)])
+
+
+def test_quality_sql_on_repeated_rows(spark):
+    rng = random.Random(9)
+    rows = [(i, f"the same line in every document\n{prose(rng, 30)}", "en", "a") for i in range(20)]
+    for more in ([rows[3]] * 3, [(50, f"the same line in every document\n{prose(rng, 30)}", "en", "a")] + [rows[3]] * 3):
+        own = quality.judge(frame(spark, rows + more), Scratch(spark, "t")).select("doc_id", "removed_words", "kept").distinct().collect()
+        sql = [(r[0], r[7], r[8]) for r in run_sql(quality.ORACLE_SQL.replace("FROM documents", "FROM (SELECT DISTINCT * FROM documents)"), rows + more)]
+        assert sorted(map(tuple, own)) == sorted(sql)
+        assert sum(r["removed_words"] > 0 for r in own) == (21 if len(more) == 4 else 0)
+
+
 def test_quality_when_hashes_mislead(spark, monkeypatch):
     monkeypatch.setattr(quality, "POSITION_BITS", 60)
     rng = random.Random(2)
@@ -190,6 +219,7 @@ def test_pieces_and_ids_equal_the_library():
     for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
         assert [i for p in own.pieces(t) for i in bpe.ids_of(lexicon, own, p)] == e.ids, t
         assert [i for p in own.pieces(t) for i in own.library_ids(p)] == e.ids, t
+        assert [i for p in own.pieces(t) for i in own.merge(p)] == e.ids, t
 
 
 def test_lexicon_is_minimal_and_exact():
@@ -215,7 +245,7 @@ def token_rows():
 def test_bpe_report_equals_the_library(spark, size):
     rows, library = token_rows(), Tokenizer.from_file(PATH)
     docs = frame(spark, rows, extra=True)
-    lexicon = bpe.build_lexicon(docs, PATH, size) if size else wordbpe.Lexicon.compile({})
+    lexicon = bpe.build_lexicon(docs, PATH, Scratch(spark, "t"), size) if size else wordbpe.Lexicon.compile({})
     expected = []
     for i, t, *_ in rows:
         ids = library.encode(t or "", add_special_tokens=False).ids
@@ -233,7 +263,17 @@ def test_bpe_counts_all_pieces(spark):
         for p in own.pieces(t or ""):
             expected[p] = expected.get(p, 0) + 1
     assert {r["piece"]: r["n"] for r in bpe.piece_counts(frame(spark, rows).repartition(3), PATH).collect()} == expected
-    assert bpe.report(frame(spark, []), PATH).count() == 0
+    assert bpe.report(frame(spark, []), PATH, Scratch(spark, "t")).count() == 0
+
+
+@pytest.mark.parametrize("size", [0, 1, 40, 10**6])
+def test_lexicon_has_the_most_frequent_pieces(spark, size):
+    docs, scratch = frame(spark, token_rows()), Scratch(spark, "t")
+    counts = scratch.keep(bpe.piece_counts(docs, PATH), "counts")
+    chosen = {r[0] for r in bpe.frequent_pieces(counts, size).collect()}
+    n = {r["piece"]: r["n"] for r in counts.collect()}
+    assert len(chosen) <= size and (size < 10**6 or chosen == {p for p in n if len(p.encode()) <= bpe.PIECE_BYTES})
+    assert min([n[p] for p in chosen], default=0) >= max([v for p, v in n.items() if p not in chosen and len(p.encode()) <= bpe.PIECE_BYTES], default=0) or not chosen
 
 
 @pytest.mark.parametrize("trial", range(12))
@@ -324,7 +364,7 @@ def test_store_report(spark, tmp_path):
 
 def test_pipeline_stages_equal_plain_versions(spark, tmp_path):
     from tests.llm.test_linededup import naive as naive_lines
-    from tests.llm.test_simhash import naive_components
+    from tests.llm.test_neardup import naive_components
 
     rows, items = contaminated_rows()
     rows = [r for r in quality_rows() + rows if r[0] is not None and r[0] != 6]
@@ -344,7 +384,7 @@ def test_pipeline_stages_equal_plain_versions(spark, tmp_path):
             gone = {(a, b) for a, b, *_, kept in naive_lines(seen) if not kept}
             assert {i: r["text"] for i, r in got.items()} == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t, *_ in seen}
         if k == 2:
-            assert set(got) == {i for i, _, c in naive_components([(r[0], r[1]) for r in seen]) if i == c}
+            assert set(got) == {i for i, c in naive_components(seen) if i == c}
         if k == 3:
             assert set(got) == {r[0] for r in naive_hits(seen, items) if not r[-1]}
         if k == 4:
