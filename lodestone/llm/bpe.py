@@ -88,7 +88,7 @@ def ids_of(lexicon: Lexicon, bpe: WordBpe, piece: str) -> list[int]:
 def lexicon_memo(path: str, lexicon: bytes) -> Memo:
     """A worker's pieces with their ids; kept from task to task."""
     bpe, lex = tokenizer(path), Lexicon(lexicon)
-    return Memo(lambda piece: tuple(ids_of(lex, bpe, piece)), MEMO // 2)
+    return Memo(lambda piece: tuple(ids_of(lex, bpe, piece)), MEMO)
 
 
 def encode(docs: DataFrame, path: str, lexicon: bytes) -> DataFrame:

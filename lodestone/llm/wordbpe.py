@@ -30,7 +30,7 @@ SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 MEMO = 400_000
 BYTES = [bytes([b]) for b in range(256)]
 #: Bytes of a piece from which on it is merged by a heap; the rank of a pair that isn't merged.
-LONG_PIECE, NEVER = 64, 1 << 62
+LONG_PIECE, NEVER = 64, 1 << 29
 
 
 def _latin(kind: str) -> str:
@@ -92,11 +92,13 @@ class WordBpe:
         return [bytes(map(self.bytes.__getitem__, piece)).decode("utf-8") for piece, _ in split]
 
     @cached_property
-    def merges(self) -> dict[int, int]:
-        """Of a pair (left id, right id, in 16 bits each) its rank and, in the low 16 bits, the id of what it gives."""
-        pairs = json.load(open(self.path, encoding="utf-8"))["model"]["merges"]
-        pairs = [p.split(" ") if isinstance(p, str) else p for p in pairs]
-        return {self.ids[a] << 16 | self.ids[b]: rank << 16 | self.ids[a + b] for rank, (a, b) in enumerate(pairs)}
+    def merges(self) -> tuple[list, list[int]]:
+        """For each left id a look-up of its pairs' ranks by right id; and by rank the id of what the pair gives."""
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in json.load(open(self.path, encoding="utf-8"))["model"]["merges"]]
+        ranks: list[dict[int, int]] = [{} for _ in self.tokens]
+        for rank, (a, b) in enumerate(pairs):
+            ranks[self.ids[a]][self.ids[b]] = rank
+        return [r.get for r in ranks], [self.ids[a + b] for a, b in pairs]
 
     def merge(self, piece: str) -> list[int]:
         """Ids of a piece: of all neighbouring pairs the one with the lowest rank is merged, leftmost first, until none has a rank."""
@@ -107,35 +109,35 @@ class WordBpe:
         parts[-1] = self.last[data[-1]]
         if len(parts) > LONG_PIECE:
             return self._merge_long(parts)
-        rank = self.merges.get
-        ranks = [rank(a << 16 | b, NEVER) for a, b in zip(parts, parts[1:])]
+        rank_of, made = self.merges
+        ranks = [rank_of[a](b, NEVER) for a, b in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) != NEVER:
             at = ranks.index(best)
-            parts[at : at + 2] = (best & 0xFFFF,)
-            del ranks[at]
+            parts[at] = here = made[best]
+            del parts[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = rank(parts[at - 1] << 16 | parts[at], NEVER)
+                ranks[at - 1] = rank_of[parts[at - 1]](here, NEVER)
             if at < len(ranks):
-                ranks[at] = rank(parts[at] << 16 | parts[at + 1], NEVER)
+                ranks[at] = rank_of[here](parts[at + 1], NEVER)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
         """The same by a heap of pairs and links to the neighbours, in n log n steps."""
-        n, rank = len(parts), self.merges.get
+        n, (rank_of, made) = len(parts), self.merges
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r, i) for i in range(n - 1) if (r := rank(parts[i] << 16 | parts[i + 1], NEVER)) != NEVER]
+        heap = [(r, i) for i in range(n - 1) if (r := rank_of[parts[i]](parts[i + 1], NEVER)) != NEVER]
         heapq.heapify(heap)
         while heap:
             best, i = heapq.heappop(heap)
             j = after[i]
-            if parts[i] < 0 or j < 0 or rank(parts[i] << 16 | parts[j], NEVER) != best:
+            if parts[i] < 0 or j < 0 or rank_of[parts[i]](parts[j], NEVER) != best:
                 continue  # one of the two has been merged since
-            parts[i], parts[j] = best & 0xFFFF, -1
+            parts[i], parts[j] = made[best], -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
             for a, b in ((before[i], i), (i, k)):
-                if a >= 0 and b >= 0 and (r := rank(parts[a] << 16 | parts[b], NEVER)) != NEVER:
+                if a >= 0 and b >= 0 and (r := rank_of[parts[a]](parts[b], NEVER)) != NEVER:
                     heapq.heappush(heap, (r, a))
         return [p for p in parts if p >= 0]
 
