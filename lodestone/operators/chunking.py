@@ -9,18 +9,20 @@ from __future__ import annotations
 
 import ast
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: White space as ECMAScript has it; the chunk budget; the least size of a meaningful chunk.
 SPACES = frozenset("\t\n\x0b\x0c\r \xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B))))
 BUDGET, MIN_MEANING = 2000, 8
+SPACE_CODES = np.array(sorted(map(ord, SPACES)), np.uint32)
 
 
 @dataclass(frozen=True)
@@ -38,21 +40,18 @@ class Source:
 
     def __init__(self, text: str):
         self.text, self.bytes = text, text.encode("utf-8", "surrogatepass")
-        self.lines = [0] + [i + 1 for i, b in enumerate(self.bytes) if b == 10]
-        self.solid = [0] * (len(self.bytes) + 1)
-        at = count = 0
-        for c in text:
-            width = len(c.encode("utf-8", "surrogatepass"))
-            count += c not in SPACES
-            for k in range(width):
-                self.solid[at + k + 1] = count
-            at += width
+        data = np.frombuffer(self.bytes, np.uint8)
+        self.lines = [0, *(np.flatnonzero(data == 10) + 1).tolist()]
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        count = np.cumsum(~np.isin(codes, SPACE_CODES))
+        # A byte counts what its character does, so a character's first byte brings its weight.
+        self.solid = np.concatenate([[0], count[np.cumsum((data & 0xC0) != 0x80) - 1]]) if len(data) else np.zeros(1, np.int64)
 
     def part(self, start: int, end: int) -> str:
         return self.bytes[start:end].decode("utf-8", "replace")
 
     def weight(self, start: int, end: int) -> int:
-        return self.solid[max(start, end)] - self.solid[start]
+        return int(self.solid[max(start, end)] - self.solid[start])
 
     def line_range(self, start: int, end: int) -> tuple[int, int]:
         first = bisect_right(self.lines, start)
@@ -81,17 +80,14 @@ class Window:
 def line_windows(source: Source, start: int, end: int, budget: int) -> list[Window]:
     """Greedy packing of lines up to the budget; a line over the budget is cut between characters."""
     pieces: list[tuple[int, int, int]] = []
-    at = start
-    for line in re.findall(r"[^\n]*\n|[^\n]+$", source.part(start, end)):
-        begin, weight = at, 0
-        for c in line:
-            solid = c not in SPACES
-            if solid and weight == budget:
-                pieces.append((begin, at, weight))
-                begin, weight = at, 0
-            weight += solid
-            at += len(c.encode("utf-8", "surrogatepass"))
-        pieces.append((begin, at, weight))
+    edges = [start, *source.lines[bisect_right(source.lines, start) : bisect_left(source.lines, end)], end]
+    totals = source.solid[edges].tolist()
+    for a, b, low, high in zip(edges, edges[1:], totals, totals[1:]):
+        # Cut before each character that would be one too many.
+        cuts = (np.searchsorted(source.solid, np.arange(low + budget + 1, high + 1, budget)) - 1).tolist() if high - low > budget else []
+        for begin, stop in zip([a, *cuts], [*cuts, b]):
+            if begin < stop:
+                pieces.append((begin, stop, source.weight(begin, stop)))
     out: list[Window] = []
     total = 0
     for a, b, weight in pieces:

@@ -41,6 +41,11 @@ def merged_document_frequencies(kept: DataFrame, changed: DataFrame) -> DataFram
     return maps.select(F.explode(F.map_keys("tf")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+def overlap(tf: DataFrame, terms: list[str]) -> DataFrame:
+    """(path, score): how often the distinct terms are in each document of (path, term, tf)."""
+    return tf.filter(F.col("term").isin(list(dict.fromkeys(terms)))).groupBy("path").agg(F.sum("tf").alias("score"))
+
+
 # Full-text queries
 
 
@@ -271,9 +276,4 @@ def search(docs: DataFrame, query: str, k: int, where: Column | None = None) ->
     return (found if where is None else found.filter(where)).orderBy(F.desc("score"), "path").limit(k)
 
 
-def code_search_text(chunks: DataFrame) -> Column:
-    """What is indexed of a chunk: its text, path, kind, node types and symbols' names, kinds and paths."""
-    return F.concat_ws(" ", "text", "path", "kind", F.array_join("node_types", " "), "symbol_text")
-
-
 __all__ = ["bm25", "code_tokens", "corpus_statistics", "document_frequencies", "fallback", "merged_document_frequencies", "parse", "parse_or_fallback", "search", "term_frequencies"]

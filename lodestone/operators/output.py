@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.paths import glob_regex
+
+#: Set to show scores and ranks in results.
+DEBUG = "LODESTONE_DEBUG"
 #: Text lengths and numbers of children that are tried in turn; diagnostics shown beside the first.
 TEXT_STEPS, CHILD_STEPS, SAMPLES = (200, 80, 20, 0), (5, 1, 0), 5
 
@@ -47,9 +53,23 @@ def pretty(value) -> str:
     return json.dumps(value, indent=2, ensure_ascii=False)
 
 
-def visible(result: dict, debug: bool = False) -> dict:
-    """Without scores, unless asked for."""
-    return result if debug else {k: v for k, v in result.items() if k not in ("score", "final_score", "retrieval")}
+def distinct_strings(diagnostics: list[str]) -> list[str]:
+    """In order of their first places."""
+    return list(dict.fromkeys(diagnostics))
+
+
+def visible_status(status: dict, paths: list[str]) -> dict:
+    """Without internal counts, and with those globs only that take one of the paths; the glob for everything isn't worth showing."""
+    shown = {k: v for k, v in status.items() if k not in ("filtered_count", "candidate_count", "best_score", "config_hash")}
+    for name in ("include", "exclude"):
+        if name in shown:
+            shown[name] = [g for g in shown[name] if g != "**/*" and any(re.match(glob_regex(g), p) for p in paths)]
+    return shown
+
+
+def visible(result: dict, debug: bool | None = None) -> dict:
+    """Without scores, unless asked for (by default: in the environment)."""
+    return result if (bool(os.environ.get(DEBUG)) if debug is None else debug) else {k: v for k, v in result.items() if k not in ("score", "final_score", "retrieval")}
 
 
 def minimal(output: dict) -> dict:
@@ -74,6 +94,30 @@ def compacted(output: dict):
             yield {**output, "results": rows, "compacted": True}
 
 
+def compacted_lookup(output: dict):
+    """Of a looked-up chunk: shorter texts, and for each length fewer children, with a page that says how many are shown."""
+    for length in (200, 80, 0):
+        for most in (None, *CHILD_STEPS):
+            small = {**output, "compacted": True}
+            for name in ("parent", "previous", "next"):
+                if isinstance(small.get(name), str):
+                    small[name] = small[name][:length]
+            if small.get("chunk"):
+                small["chunk"] = {**small["chunk"], "text": (small["chunk"].get("text") or "")[:length]}
+            children = output.get("children") or []
+            small["children"] = [c[:length] for c in children[: len(children) if most is None else most]]
+            if page := output.get("children_page"):
+                small["children_page"] = {**page, "shown": len(small["children"]), "has_more": page["offset"] + len(small["children"]) < page["total"]}
+            yield small
+
+
+def serialise_lookup(output: dict, limits: Limits = Limits()) -> str:
+    """The largest form that fits; at last the chunk's name alone, or cut by force."""
+    least = {"chunk": {k: (output.get("chunk") or {}).get(k) for k in ("id", "path", "line_start", "line_end")}, "diagnostics": output["diagnostics"], "compacted": True}
+    forms = [pretty(output), *map(pretty, compacted_lookup(output)), json.dumps(least, ensure_ascii=False)]
+    return next((f for f in forms if fits(f, limits)), cut_utf8(forms[-1], limits.max_bytes or 0))
+
+
 def serialise(output: dict, limits: Limits = Limits()) -> str:
     """The largest form that fits: whole, compacted, minimal, minimal on one line, diagnostics alone, or cut by force."""
     forms = [pretty(output), *map(pretty, compacted(output)), pretty(minimal(output)), json.dumps(minimal(output), ensure_ascii=False)]

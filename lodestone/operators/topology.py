@@ -32,6 +32,12 @@ def chunk_parents(chunks: DataFrame) -> DataFrame:
     return joined.groupBy("id").agg(F.max_by("parent_id", F.when(F.col("parent_id").isNotNull(), F.struct("p_start", (-F.col("p_end")).alias("e"), "parent_id"))).alias("parent_id"))
 
 
+def emitted_siblings(chunks: DataFrame) -> DataFrame:
+    """(id, previous_id, next_id) in the order in which a file's chunks were made (ordinal)."""
+    order = Window.partitionBy("path").orderBy("ordinal")
+    return chunks.select("id", F.lag("id").over(order).alias("previous_id"), F.lead("id").over(order).alias("next_id"))
+
+
 def chunk_children(chunks: DataFrame, parents: DataFrame) -> DataFrame:
     """(id, child_ids) of chunks with children, by start, widest first."""
     own = chunks.select("id", "byte_start", "byte_end").join(parents.filter("parent_id is not null"), "id")
