@@ -220,15 +220,21 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta source trac
 
 
 def html_tree(text: str) -> Node:
-    """Elements with their texts; an end tag closes what is open above its start tag, and the end of text all."""
+    """Elements with their tags, texts, entities and comments; an end tag closes what is open above its start tag, and the end of text all."""
     starts, size = [0], len(text.encode("utf-8", "surrogatepass"))
     for line in text.split("\n"):
         starts.append(starts[-1] + len(line) + 1)
-    to_byte = [0]
-    for c in text:
-        to_byte.append(to_byte[-1] + len(c.encode("utf-8", "surrogatepass")))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    to_byte = [0, *np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)).tolist()]
     stack: list[list] = [["document", 0, []]]
 
+    def leaf(kind: str, at: int, end: int) -> Node:
+        return Node(kind, to_byte[at], to_byte[min(end, len(text))])
+
+    def after(piece: str, at: int) -> int:
+        found = text.find(piece, at)
+        return len(text) if found < 0 else found + len(piece)
+
     class Parser(HTMLParser):
         def here(self) -> int:
             line, column = self.getpos()
@@ -239,7 +245,7 @@ def html_tree(text: str) -> Node:
             if tag in VOID_TAGS:
                 stack[-1][2].append(Node("element", to_byte[at], to_byte[min(at + width, len(text))]))
             else:
-                stack.append([tag, to_byte[at], []])
+                stack.append([tag, to_byte[at], [leaf("start_tag", at, at + width)]])
 
         def handle_startendtag(self, tag, attrs):
             at = self.here()
@@ -250,12 +256,34 @@ def html_tree(text: str) -> Node:
             if data.strip():
                 stack[-1][2].append(Node("text", to_byte[at], to_byte[min(at + len(data), len(text))]))
 
+        def handle_decl(self, decl):
+            stack[-1][2].append(leaf("doctype", self.here(), after(">", self.here())))
+
+        unknown_decl = handle_pi = handle_decl
+
+        def handle_comment(self, data):
+            at = self.here()
+            stack[-1][2].append(leaf("comment", at, after("-->" if text.startswith("<!--", at) else ">", at + 2)))
+
+        def handle_entityref(self, name):
+            at, end = self.here(), self.here() + 1 + len(name)
+            stack[-1][2].append(leaf("entity", at, end + (text[end : end + 1] == ";")))
+
+        def handle_charref(self, name):
+            at, end = self.here(), self.here() + 2 + len(name)
+            stack[-1][2].append(leaf("entity", at, end + (text[end : end + 1] == ";")))
+
         def handle_endtag(self, tag):
+            at = self.here()
+            own = leaf("end_tag", at, after(">", at))
             if tag not in [s[0] for s in stack[1:]]:
+                stack[-1][2].append(replace(own, type="erroneous_end_tag"))
                 return
-            end = to_byte[min(text.find(">", self.here()) + 1 or len(text), len(text))]
+            end = own.end
             while True:
                 name, start, children = stack.pop()
+                if name == tag:
+                    children = [*children, own]
                 stack[-1][2].append(Node("script_element" if name == "script" else "style_element" if name == "style" else "element", start, end, tuple(children)))
                 if name == tag:
                     return
@@ -418,6 +446,39 @@ def chunk_files(files: DataFrame, budget: int = BUDGET, overlap: int = 0, meanin
     return _mapped(files, CHUNKS, lambda path, language, text: chunks_of(path, language, text, budget, overlap, meaning, parser))
 
 
+def line_index(files: DataFrame) -> DataFrame:
+    """(path, n, byte_start, byte_end, non_white) of each line of files, without its newline."""
+
+    def rows(path: str, language: str, text: str) -> list[dict]:
+        source = Source(text)
+        ends = [*(a - 1 for a in source.lines[1:]), len(source.bytes)]
+        return [{"path": path, "n": n, "byte_start": a, "byte_end": b, "non_white": source.weight(a, b)} for n, (a, b) in enumerate(zip(source.lines, ends), 1)]
+
+    return _mapped(files, "path string, n long, byte_start long, byte_end long, non_white long", rows)
+
+
+def widened_lines(files: DataFrame, overlap: int) -> DataFrame:
+    """(path, byte_start, byte_end, wide_start, wide_end): the lines that aren't empty as windows, with their neighbours."""
+
+    def rows(path: str, language: str, text: str) -> list[dict]:
+        source = Source(text)
+        ends = [*(a - 1 for a in source.lines[1:]), len(source.bytes)]
+        windows = [Window(a, b) for a, b in zip(source.lines, ends) if a < b]
+        return [{"path": path, "byte_start": w.own[0], "byte_end": w.own[1], "wide_start": w.start, "wide_end": w.end} for w in Chunker(source, BUDGET, overlap).overlapped(windows)]
+
+    return _mapped(files, "path string, byte_start long, byte_end long, wide_start long, wide_end long", rows)
+
+
+def kinds(rows: DataFrame) -> DataFrame:
+    """(id, kind) of (id, node_types)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([kind_of(t) for t in batch.column(1).to_pylist()], pa.string())], ["id", "kind"])
+
+    return rows.select("id", "node_types").mapInArrow(run, "id string, kind string")
+
+
 def file_symbols(files: DataFrame, parser=parse) -> DataFrame:
     """Symbols of files (path, language, text)."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,17 @@ def needs_expansion(best_score: float | None, threshold: float, enabled: bool =
     return enabled and (-1.0 if best_score is None else best_score) < threshold
 
 
+def expansion_wanted(best: Column, threshold: float) -> Column:
+    """The same for a column of best scores."""
+    return F.coalesce(best, F.lit(-1.0)) < threshold
+
+
+def status_counts(best: DataFrame, least: float) -> DataFrame:
+    """One row for the k best (score): candidates, filtered (below the least score), best."""
+    below = (F.col("score") < max(0.0, least)).cast("long")
+    return best.agg(F.count("*").alias("candidates"), F.coalesce(F.sum(below), F.lit(0)).alias("filtered"), F.max("score").alias("best"))
+
+
 def rerank(candidates: DataFrame, response: DataFrame) -> DataFrame:
     """Candidates (id, score, rank) in a reranker's order.
 

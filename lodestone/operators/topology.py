@@ -52,6 +52,13 @@ def chunk_siblings(chunks: DataFrame, parents: DataFrame, symbols: DataFrame) ->
     return rows.select("id", F.lag("id").over(order).alias("previous_id"), F.lead("id").over(order).alias("next_id"))
 
 
+def child_page(children: DataFrame, offset: int, limit: int) -> DataFrame:
+    """(id, page, total, has_more) of (id, child_ids); offset and limit are at least 0."""
+    offset, limit = max(0, offset), max(0, limit)
+    page = F.slice("child_ids", offset + 1, limit)
+    return children.select("id", page.alias("page"), F.size("child_ids").cast("long").alias("total"), (F.lit(offset) + F.size(page) < F.size("child_ids")).alias("has_more"))
+
+
 def range_label() -> Column:
     one = F.col("line_start") == F.col("line_end")
     return F.concat(F.col("path"), F.lit(":"), F.col("line_start").cast("string"), F.when(one, "").otherwise(F.concat(F.lit("-"), F.col("line_end").cast("string"))))

@@ -8,15 +8,21 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths, text
 from lodestone.models import HashEmbedder, embedded, embedding_text, rerank_document
-from lodestone.operators import chunking, fusion, incremental, lexical, output, topology, vectors
+from lodestone.operators import chunking, fusion, incremental, lexical, output, postings, topology, vectors
+from lodestone.options import Options, parse
+from lodestone.plans import hydrate, refresh as plan
+from lodestone.plans.search import Index, search
 from lodestone.session import shared_dir
+from lodestone.sources import validate
 from lodestone.sources.files import corpus
+from lodestone.sources.store import IndexStore
 from lodestone.streaming import mutations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,6 +163,33 @@ def term_sql(term: str) -> str:
     return f"len(list_filter(t, lambda x: x = '{term}'))"
 
 
+STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_postings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, documents) of the documents' texts, written once a session."""
+    at = STORED.setdefault((spark.sparkContext.applicationId, d), f"{shared_dir(spark)}/catalogue/{uuid.uuid4().hex}")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/documents/_SUCCESS")):
+        posted, docs = postings.build(corpus(spark, d).select(F.col("doc_id").cast("string").alias("id"), "path", "text"))
+        posted.write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
+        docs.write.mode("overwrite").parquet(f"{at}/documents")
+    return spark.read.schema(f"{postings.POSTINGS}, bucket int").parquet(f"{at}/postings"), spark.read.schema(postings.DOCS).parquet(f"{at}/documents")
+
+
+def stored_search(spark: SparkSession, d: str, query: str, k: int, where: Column | None = None) -> DataFrame:
+    """(path, score) by the stored postings, ties by path."""
+    posted, docs = stored_postings(spark, d)
+    found = postings.bm25(posted, docs, lexical.parse_or_fallback(query))
+    return rounded((found if where is None else found.filter(where)).orderBy(F.desc("score"), "path").limit(k).select("path", "score"))
+
+
+@query(f"WITH {CORPUS}, {TOK}, o AS (SELECT path, unnest(t) AS term FROM tok) SELECT term, count(DISTINCT path) AS df, count(*) AS n FROM o GROUP BY term")
+def lexical_index(spark, d):
+    """Each stored term with its documents and occurrences."""
+    return stored_postings(spark, d)[0].groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("n"))
+
+
 TOP50 = "SELECT path, round(score, 6) AS score FROM bm ORDER BY score DESC, path LIMIT 50"
 
 
@@ -166,37 +199,43 @@ def rounded(frame: DataFrame) -> DataFrame:
 
 @query(bm25_sql([term_sql("der"), term_sql("heed"), term_sql("queos")], "tf0 > 0 OR tf1 > 0 OR tf2 > 0", TOP50))
 def bm25_or(spark, d):
-    return rounded(lexical.search(corpus(spark, d), "der OR heed OR queos", 50))
+    return stored_search(spark, d, "der OR heed OR queos", 50)
 
 
 @query(bm25_sql([term_sql("with"), term_sql("that")], "tf0 > 0 AND tf1 > 0", TOP50))
 def bm25_and(spark, d):
-    return rounded(lexical.search(corpus(spark, d), "with that", 50))
+    return stored_search(spark, d, "with that", 50)
 
 
 @query(bm25_sql([term_sql("with"), term_sql("scum")], "tf0 > 0 AND NOT tf1 > 0", TOP50))
 def bm25_not(spark, d):
-    return rounded(lexical.search(corpus(spark, d), "with NOT scum", 50))
+    return stored_search(spark, d, "with NOT scum", 50)
 
 
 @query(bm25_sql(["len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the'))"], "tf0 > 0", TOP50))
 def bm25_phrase(spark, d):
-    return rounded(lexical.search(corpus(spark, d), '"of the"', 50))
+    return stored_search(spark, d, '"of the"', 50)
 
 
-@query(bm25_sql(["len(list_filter(t, lambda x: starts_with(x, 'password')))"], "tf0 > 0", TOP50))
+@query(bm25_sql(["len(list_filter(t, lambda x: starts_with(x, 'wit')))"], "tf0 > 0", TOP50))
 def bm25_prefix(spark, d):
-    return rounded(lexical.search(corpus(spark, d), "password*", 50))
+    return stored_search(spark, d, "wit*", 50)
 
 
 @query(bm25_sql([term_sql("der"), term_sql("heed")], "tf0 > 0 OR tf1 > 0", TOP50))
 def bm25_fallback(spark, d):
-    return rounded(lexical.search(corpus(spark, d), "der heed?", 50))
+    return stored_search(spark, d, "der heed?", 50)
+
+
+@query(bm25_sql([term_sql("der"), term_sql("queos")], "tf0 > 0 OR tf1 > 0", TOP50))
+def bm25_scan(spark, d):
+    """The same without an index, over texts."""
+    return rounded(lexical.search(corpus(spark, d), "der OR queos", 50))
 
 
 @query(bm25_sql([term_sql("der"), term_sql("with")], "tf0 > 0 OR tf1 > 0", "SELECT path, round(score, 6) AS score FROM bm WHERE path LIKE 'src/src1/%' OR (path LIKE 'src/src2/%' AND regexp_matches(path, '^src/src2/(?:[^/]+/)*[^/]*7\\.txt$')) ORDER BY score DESC, path LIMIT 50"))
 def bm25_path_filtered(spark, d):
-    return rounded(lexical.search(corpus(spark, d), "der OR with", 50, paths.matches(F.col("path"), ["src/src1/", "src/src2/**/*7.txt"])))
+    return stored_search(spark, d, "der OR with", 50, paths.matches(F.col("path"), ["src/src1/", "src/src2/**/*7.txt"]))
 
 
 # Fusion
@@ -204,8 +243,8 @@ def bm25_path_filtered(spark, d):
 
 def lists(spark, d) -> tuple[DataFrame, DataFrame]:
     near = vectors.top_cosine(vec(spark, d), query_vector(spark, d), 40)
-    docs = corpus(spark, d).select(F.col("doc_id").alias("path"), "text")
-    return near, lexical.search(docs, "der OR heed OR with", 40).withColumnRenamed("path", "id")
+    found = postings.bm25(*stored_postings(spark, d), lexical.parse("der OR heed OR with")).select(F.col("id").cast("long").alias("id"), "score")
+    return near, found.orderBy(F.desc("score"), "id").limit(40)
 
 
 LISTS = bm25_sql([term_sql("der"), term_sql("heed"), term_sql("with")], "tf0 > 0 OR tf1 > 0 OR tf2 > 0", "{}", f""", ids AS (SELECT doc_id AS id, score FROM bm JOIN corpus USING (path) ORDER BY score DESC, doc_id LIMIT 40),
@@ -246,7 +285,7 @@ SELECT query_id, round(best, 6) AS best, best < 0.35 AS expand FROM s""")
 def hyde_trigger(spark, d):
     asked = table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     best = vectors.batch_top_cosine(vec(spark, d), asked, 2).filter("id <> query_id").groupBy("query_id").agg(F.max("score").alias("best"))
-    return best.select("query_id", F.round("best", 6).alias("best"), (F.col("best") < 0.35).alias("expand"))
+    return best.select("query_id", F.round("best", 6).alias("best"), fusion.expansion_wanted(F.col("best"), 0.35).alias("expand"))
 
 
 RERANK = f"""WITH {VEC.format(0)}, c AS (SELECT id, {COS} AS score FROM vec, q ORDER BY {COS} DESC, id LIMIT 20), k AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM c),
@@ -271,12 +310,25 @@ def topk_then_threshold(spark, d):
 @query(f"WITH {VEC.format(5)}, c AS (SELECT id, {COS} AS score FROM vec, q ORDER BY {COS} DESC, id LIMIT 30) SELECT count(*) AS candidates, count(*) FILTER (score < 0.2) AS filtered, round(max(score), 6) AS best FROM c")
 def search_status_metrics(spark, d):
     c = vectors.top_cosine(vec(spark, d), query_vector(spark, d, 5), 30)
-    return c.agg(F.count("*").alias("candidates"), F.sum((F.col("score") < 0.2).cast("long")).alias("filtered"), F.round(F.max("score"), 6).alias("best"))
+    return fusion.status_counts(c, 0.2).select("candidates", "filtered", F.round("best", 6).alias("best"))
 
 
 # Paths and files
 
 
+def docs_source(spark: SparkSession, d: str, max_bytes: int, edited: bool = False) -> plan.Table:
+    """The documents as a source; edited: every tenth is gone, every tenth has more text, every tenth is touched."""
+    rows = corpus(spark, d).withColumn("mtime", F.lit(1000.0))
+    if edited:
+        kind = F.pmod("doc_id", F.lit(10))
+        rows = rows.filter(kind != 0).withColumn("text", F.when(kind == 1, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))).withColumn("mtime", F.when(kind == 2, 2000.0).otherwise(F.col("mtime")))
+    return plan.Table("documents", rows, docs_options(max_bytes))
+
+
+def docs_options(max_bytes: int) -> Options:
+    return parse({"maxFileBytes": max_bytes, "maxChunkNonWhitespaceChars": 200}, {})
+
+
 def path_rows(spark, d) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path")).unionByName(corpus(spark, d).select((-F.col("doc_id") - 1).alias("page_id"), "path"))
 
@@ -321,13 +373,15 @@ def fingerprint_sha256(spark, d):
 
 @query(f"WITH {CORPUS} SELECT path, CASE WHEN {ENC.format('text')} > 4096 THEN 'file_too_large' ELSE 'ok' END AS verdict FROM corpus")
 def size_skip(spark, d):
-    return corpus(spark, d).select("path", F.when(F.octet_length("text") > 4096, "file_too_large").otherwise("ok").alias("verdict"))
+    source = docs_source(spark, d, 4096)
+    files, skipped = source.read(source.manifest())
+    return skipped.select("path", F.col("code").alias("verdict")).unionByName(files.select("path", F.lit("ok").alias("verdict")))
 
 
-@query(f"""WITH {CORPUS}, b AS (SELECT path, CASE doc_id % 4 WHEN 0 THEN concat(repeat(chr(1), CAST(doc_id % 50 AS INT)), left(text, 60)) WHEN 1 THEN concat(left(text, 9), chr(127), left(text, 3)) ELSE text END AS t FROM corpus)
+@query(f"""WITH {CORPUS}, b AS (SELECT path, CASE doc_id % 4 WHEN 0 THEN concat(repeat(chr(1), CAST(doc_id % 50 AS INT)), text) WHEN 1 THEN replace(text, ' ', chr(5)) ELSE text END AS t FROM corpus)
 SELECT path, len(regexp_extract_all(t, '[\\x01-\\x07\\x0B\\x0E-\\x1F]')) > 0.3 * least({ENC.format('t')}, 16384) AND {ENC.format('t')} > 0 AS is_binary FROM b""")
 def binary_sniff(spark, d):
-    t = F.when(F.col("doc_id") % 4 == 0, F.concat(F.repeat(F.lit("\x01"), (F.col("doc_id") % 50).cast("int")), F.substring("text", 1, 60))).when(F.col("doc_id") % 4 == 1, F.concat(F.substring("text", 1, 9), F.lit("\x7f"), F.substring("text", 1, 3))).otherwise(F.col("text"))
+    t = F.when(F.col("doc_id") % 4 == 0, F.concat(F.repeat(F.lit("\x01"), (F.col("doc_id") % 50).cast("int")), "text")).when(F.col("doc_id") % 4 == 1, F.replace("text", F.lit(" "), F.lit("\x05"))).otherwise(F.col("text"))
     return corpus(spark, d).select("path", text.binary_looking(F.encode(t, "UTF-8")).alias("is_binary"))
 
 
@@ -400,7 +454,7 @@ def line_symbols(spark, d) -> DataFrame:
 
 @query(f"WITH {CORPUS}, {LINES} SELECT path, n, s AS byte_start, e AS byte_end, length(regexp_replace(line, '{text.WHITE_SPACE}', '', 'g')) AS non_white FROM spans")
 def line_ranges(spark, d):
-    return line_spans(spark, d).select("path", F.col("n").cast("long").alias("n"), "byte_start", "byte_end", text.non_white_space(F.col("line")).cast("long").alias("non_white"))
+    return chunking.line_index(corpus(spark, d))
 
 
 @query(f"WITH {CORPUS}, {LINES} SELECT path, n, md5(line) AS slice FROM spans")
@@ -443,8 +497,8 @@ def chunk_children(spark, d):
 @query(f"WITH {CHUNKS}, k AS (SELECT pid AS id, chunks.id AS c, row_number() OVER (PARTITION BY pid ORDER BY s, e DESC, chunks.id) AS r, count(*) OVER (PARTITION BY pid) AS total FROM parent JOIN chunks USING (id) WHERE pid IS NOT NULL) SELECT id, string_agg(c, '|' ORDER BY r) AS page, any_value(total) AS total, any_value(total) > 3 AS has_more FROM k WHERE r BETWEEN 2 AND 3 GROUP BY id")
 def children_page(spark, d):
     chunks = line_chunks(spark, d)
-    c = topology.chunk_children(chunks, topology.chunk_parents(chunks)).withColumn("page", F.slice("child_ids", 2, 2)).filter(F.size("page") > 0)
-    return c.select("id", F.array_join("page", "|").alias("page"), F.size("child_ids").cast("long").alias("total"), (F.size("child_ids") > 3).alias("has_more"))
+    page = topology.child_page(topology.chunk_children(chunks, topology.chunk_parents(chunks)), 1, 2)
+    return page.filter(F.size("page") > 0).withColumn("page", F.array_join("page", "|"))
 
 
 @query(f"WITH {CHUNKS} SELECT id, prev AS previous_id, next AS next_id FROM sib")
@@ -485,58 +539,72 @@ def parent_dedup(spark, d):
     return topology.without_repeated_parents(rows).select("id", "parent_start", "parent_end")
 
 
-@query(f"""WITH {CHUNKS}, asked AS (SELECT id, s FROM chunks WHERE kind = 'class'), n AS (SELECT id, id AS near, 0 AS o FROM asked UNION ALL SELECT id, pid, 1 FROM asked JOIN parent USING (id)
-UNION ALL SELECT pid, id, 2 FROM parent UNION ALL SELECT id, prev, 3 FROM asked JOIN sib USING (id) UNION ALL SELECT id, next, 4 FROM asked JOIN sib USING (id))
-SELECT id, count(DISTINCT near) AS hydrated FROM n WHERE near IS NOT NULL AND id IN (SELECT id FROM asked) GROUP BY id""")
+@query(f"""WITH {CHUNKS}, asked AS (SELECT id, s FROM chunks WHERE kind = 'class'), n AS (SELECT id AS near, 0 AS later FROM asked UNION ALL SELECT pid, 1 FROM asked JOIN parent USING (id)
+UNION ALL SELECT parent.id, 1 FROM parent JOIN asked ON pid = asked.id UNION ALL SELECT prev, 1 FROM asked JOIN sib USING (id) UNION ALL SELECT next, 1 FROM asked JOIN sib USING (id))
+SELECT near AS id, CAST(min(later) AS INT) AS later FROM n WHERE near IS NOT NULL GROUP BY near""")
 def hydrate_neighbours(spark, d):
+    """The chunks asked for and those around them, each once."""
     chunks = line_chunks(spark, d)
     parents = topology.chunk_parents(chunks)
-    siblings = topology.chunk_siblings(chunks, parents, topology.chunk_symbols(chunks, line_symbols(spark, d)))
-    rows = chunks.filter("kind = 'class'").select("id").join(parents, "id").join(siblings, "id").join(topology.chunk_children(chunks, parents), "id", "left")
-    near = F.array_distinct(F.array_compact(F.concat(F.array("id", "parent_id"), F.coalesce("child_ids", F.array().cast("array<string>")), F.array("previous_id", "next_id"))))
-    return rows.select("id", F.size(near).cast("long").alias("hydrated"))
+    relations = parents.join(topology.chunk_siblings(chunks, parents, topology.chunk_symbols(chunks, line_symbols(spark, d))), "id").join(topology.chunk_children(chunks, parents), "id", "left")
+    asked = chunks.filter("kind = 'class'").select("id", F.col("byte_start").alias("pos"))
+    return hydrate.expanded(asked, relations).select("id", F.col("place.later").alias("later"))
 
 
 @query(f"WITH {CHUNKS}, l AS (SELECT id, s, e, lag(s) OVER w AS ps, lead(e) OVER w AS ne FROM chunks WHERE kind = 'block' WINDOW w AS (PARTITION BY path ORDER BY s)) SELECT id, coalesce(ps, s) AS wide_start, coalesce(ne, e) AS wide_end FROM l")
 def overlap_windows(spark, d):
-    around = Window.partitionBy("path").orderBy("byte_start").rowsBetween(-1, 1)
-    return line_chunks(spark, d).filter("kind = 'block'").select("id", F.min("byte_start").over(around).alias("wide_start"), F.max("byte_end").over(around).alias("wide_end"))
+    wide = chunking.widened_lines(corpus(spark, d), 1)
+    return wide.select(_ids("block").alias("id"), "wide_start", "wide_end")
 
 
 @query(f"WITH {CORPUS}, {LINES}, t AS (SELECT path, n, list_transform(string_split(line, ' ')[1:3], lambda x: lower(x)) AS ts FROM spans) SELECT path, n, CASE WHEN len(list_filter(ts, lambda x: contains(x, 'th'))) > 0 THEN 'class' WHEN len(list_filter(ts, lambda x: contains(x, 'er'))) > 0 THEN 'method' WHEN len(list_filter(ts, lambda x: contains(x, 'de'))) > 0 THEN 'function' ELSE 'block' END AS kind FROM t")
 def chunk_kind(spark, d):
     ts = F.transform(F.slice(F.split("line", " "), 1, 3), lambda x: F.lower(x))
-    kind = F.when(F.exists(ts, lambda x: x.contains("th")), "class").when(F.exists(ts, lambda x: x.contains("er")), "method").when(F.exists(ts, lambda x: x.contains("de")), "function").otherwise("block")
-    return line_spans(spark, d).select("path", F.col("n").cast("long").alias("n"), kind.alias("kind"))
+    types = F.transform(ts, lambda x: F.concat_ws("_", F.lit("node"), F.when(x.contains("th"), "class"), F.when(x.contains("er"), "method"), F.when(x.contains("de"), "function")))
+    rows = line_spans(spark, d).select(F.concat_ws("#", F.col("n").cast("string"), "path").alias("id"), types.alias("node_types"))
+    return chunking.kinds(rows).select(F.substring_index("id", "#", 1).cast("long").alias("n"), F.expr("substr(id, instr(id, '#') + 1)").alias("path"), "kind")
 
 
 # Chunkers and models: sequential or learned, so without SQL unless their results can be put together in SQL
 
 
-@query(f"WITH {CORPUS} SELECT path, md5(text) AS text_md5 FROM corpus WHERE text <> ''")
+@query(f"WITH {CORPUS} SELECT path, md5(text) AS text_md5, true AS within, true AS packed, true AS at_lines FROM corpus WHERE text <> ''")
 def fallback_chunks(spark, d):
-    """Line chunks put together again give the text."""
+    """Line chunks: together they give the text, keep to the budget, take all that fits, and end at lines unless a line is too long."""
     chunks = chunking.chunk_files(corpus(spark, d), budget=200)
-    joined = chunks.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "").alias("t"))
-    return joined.select("path", F.md5(F.encode("t", "UTF-8")).alias("text_md5"))
+    order = Window.partitionBy("path").orderBy("ordinal")
+    next_line = F.lead(text.non_white_space(F.regexp_extract("text", r"^[^\n]*\n?", 0))).over(order)
+    checked = chunks.withColumn("next", next_line)
+    joined = checked.groupBy("path").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "").alias("t"), F.every(F.col("non_white") <= 200).alias("within"),
+        F.every(F.coalesce(F.col("non_white") + F.col("next") > 200, F.lit(True))).alias("packed"), F.every(F.col("text").endswith("\n") | F.col("next").isNull() | (F.col("non_white") == 200)).alias("at_lines"),
+    )
+    return joined.select("path", F.md5(F.encode("t", "UTF-8")).alias("text_md5"), "within", "packed", "at_lines")
 
 
 def pages_as_files(spark, d) -> DataFrame:
     return table(spark, d, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit("html").alias("language"), F.coalesce("html", F.lit("")).alias("text"))
 
 
-@query()
+@query(f"SELECT concat('pages/', page_id, '.html') AS path, CAST(length(regexp_replace(html, '{text.WHITE_SPACE}', '', 'g')) AS BIGINT) AS non_white, true AS within, true AS in_order FROM pages WHERE html <> ''")
 def structural_chunks_html(spark, d):
-    return chunking.chunk_files(pages_as_files(spark, d), budget=200).drop("diagnostic")
+    """Structural chunks of pages: all that isn't white is in one chunk, within the budget, and chunks don't overlap."""
+    chunks = chunking.chunk_files(pages_as_files(spark, d).filter("text <> ''"), budget=200)
+    before = F.lag("byte_end").over(Window.partitionBy("path").orderBy("ordinal"))
+    checked = chunks.withColumn("after", F.coalesce(F.col("byte_start") >= before, F.lit(True)))
+    return checked.groupBy("path").agg(F.sum("non_white").alias("non_white"), F.every(F.col("non_white") <= 200).alias("within"), F.every("after").alias("in_order"))
 
 
-@query()
+@query(f"""WITH {CORPUS}, {LINES}, m AS (SELECT path, concat('m', regexp_replace(lower(left(line, 8)), '[^a-z0-9]', '', 'g')) AS name FROM lines)
+SELECT regexp_replace(path, 'txt$', 'py') AS path, kind, name, parent, n FROM (SELECT path, 'method' AS kind, name, 'Doc' AS parent, count(*) AS n FROM m GROUP BY path, name UNION ALL SELECT DISTINCT path, 'class', 'Doc', NULL, 1 FROM m)""")
 def symbols_extract(spark, d):
-    """Symbols of sources made of the documents: a class for each, with a method for each line's first word."""
+    """Symbols of sources made of the documents: a class for each, with a method for each line's first word; counted by name and parent."""
     name = F.concat(F.lit("m"), F.regexp_replace(F.lower(F.substring("line", 1, 8)), "[^a-z0-9]", ""))
     body = line_spans(spark, d).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("n", name.alias("m")))).alias("ms"))
     source = F.concat(F.lit("class Doc:\n"), F.array_join(F.transform("ms", lambda x: F.concat(F.lit("    def "), x["m"], F.lit("(self):\n        return "), x["n"].cast("string"), F.lit("\n"))), ""))
-    return chunking.file_symbols(body.select(F.regexp_replace("path", "txt$", "py").alias("path"), F.lit("python").alias("language"), source.alias("text")))
+    found = chunking.file_symbols(body.select(F.regexp_replace("path", "txt$", "py").alias("path"), F.lit("python").alias("language"), source.alias("text")))
+    parent = found.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
+    return found.join(parent, "parent_id", "left").groupBy("path", "kind", "name", "parent").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {CHUNKS}, bc AS (SELECT chunks.id, coalesce(string_agg(cs.kind || ' ' || name, chr(10) ORDER BY ys, ye DESC, sid), '') AS bc FROM chunks LEFT JOIN cs USING (id) GROUP BY chunks.id) SELECT id, md5(concat('path: ', path, chr(10), 'language: text', chr(10), 'symbols:', chr(10), bc, chr(10), 'text:', chr(10), line)) AS input FROM chunks JOIN bc USING (id)")
@@ -595,21 +663,21 @@ def change_detection(spark, d):
 
 @query(f"WITH {OLD} SELECT path FROM changes WHERE change = 'deleted'")
 def deleted_files(spark, d):
-    now, old = file_states(spark, d)
-    return old.select("path").join(now.select("path"), "path", "left_anti")
+    return incremental.changes(*file_states(spark, d)).filter("change = 'deleted'").select("path")
 
 
 @query(f"WITH {OLD} SELECT old.path, coalesce(CASE WHEN length(now.fingerprint) % 2 = 0 AND now.doc_id % 4 = 0 THEN NULL ELSE now.size END, old.size) AS size FROM old LEFT JOIN now ON now.path = old.path")
 def files_coalesce(spark, d):
     now, old = file_states(spark, d)
-    n = now.select("path", F.when(~((F.length("fingerprint") % 2 == 0) & (F.col("doc_id") % 4 == 0)), F.col("size")).alias("n_size"))
-    return old.select("path", "size").join(n, "path", "left").select("path", F.coalesce("n_size", "size").alias("size"))
+    n = now.select("path", F.when(~((F.length("fingerprint") % 2 == 0) & (F.col("doc_id") % 4 == 0)), F.col("size")).alias("size"))
+    listed = old.select("path").join(n, "path", "left")
+    return incremental.with_run_values(listed, old.select("path", "size"))
 
 
 @query(f"WITH {OLD} SELECT path FROM old WHERE path NOT IN (SELECT path FROM now)")
 def prune_orphans(spark, d):
     now, old = file_states(spark, d)
-    return old.select("path").join(now.select("path"), "path", "left_anti")
+    return incremental.orphans(old.select("path"), now)
 
 
 @query(f"WITH {OLD} SELECT (SELECT count(*) FROM changes WHERE change IN ('new', 'deleted')) = 0 AS same")
@@ -626,14 +694,68 @@ def run_resume(spark, d):
     """The latest run in a given state, of runs made of the events."""
     e = table(spark, d, "events")
     runs = e.groupBy(F.col("user_id").alias("run")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("started"))
-    wanted = e.agg(F.min("event_type").alias("status"))
-    return runs.join(F.broadcast(wanted), "status").agg(F.max_by("run", F.struct("started", "run")).alias("run"))
+    return incremental.latest_run(runs, e.agg(F.min("event_type")).first()[0])
 
 
-@query("SELECT event_id, event_type FROM events WHERE user_id = (SELECT max(user_id) FROM events)")
+@query(f"WITH {OLD} SELECT path, fingerprint, size FROM now")
 def active_run_scan(spark, d):
-    e = table(spark, d, "events")
-    return e.join(F.broadcast(e.agg(F.max("user_id").alias("user_id"))), "user_id").select("event_id", "event_type")
+    """Files of the active run of a store that has another one in the making."""
+    now, old = file_states(spark, d)
+    store = IndexStore(spark, f"{shared_dir(spark)}/catalogue/store-{uuid.uuid4().hex}")
+    files = [f.select("path", F.lit("text").alias("language"), "fingerprint", "size", "mtime", "ctime") for f in (now, old)]
+    run = store.begin("a")
+    store.write_files(run, files=files[0])
+    store.activate(run, now)
+    store.write_files(store.begin("b"), files=files[1])
+    return store.table("files").select("path", "fingerprint", "size")
+
+
+# The refresh driver, over the documents as files
+
+BYTES = ENC.format("text")
+
+
+def refreshed(spark: SparkSession, d: str, edited: bool) -> tuple[IndexStore, list[plan.Refreshed]]:
+    store = IndexStore(spark, f"{shared_dir(spark)}/catalogue/store-{uuid.uuid4().hex}")
+    done = [plan.refresh(spark, store, docs_source(spark, d, 20_000), docs_options(20_000), HashEmbedder())]
+    if edited:
+        done.append(plan.refresh(spark, store, docs_source(spark, d, 20_000, True), docs_options(20_000), HashEmbedder()))
+    return store, done
+
+
+@query(f"WITH {CORPUS} SELECT path, CASE WHEN {BYTES} > 20000 THEN NULL ELSE sha256(text) END AS fingerprint, CASE WHEN {BYTES} > 20000 THEN NULL ELSE md5(text) END AS chunks_md5, {BYTES} > 20000 AS skipped FROM corpus")
+def refresh_full(spark, d):
+    """A first refresh: every file with its chunks, put together again, or as skipped."""
+    store, _ = refreshed(spark, d, False)
+    texts = store.with_vectors(store.table("chunks")).filter("embedding is not null").groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "").alias("t"))
+    kept = store.table("files").join(texts, "path", "left").select("path", "fingerprint", F.md5(F.encode(F.coalesce("t", F.lit("")), "UTF-8")).alias("chunks_md5"), F.lit(False).alias("skipped"))
+    return kept.unionByName(store.skipped().select("path", F.lit(None).cast("string").alias("fingerprint"), F.lit(None).cast("string").alias("chunks_md5"), F.lit(True).alias("skipped")))
+
+
+@query(f"WITH {CORPUS}, e AS (SELECT doc_id, path, CASE WHEN doc_id % 10 = 1 THEN concat(text, ' more') ELSE text END AS text FROM corpus WHERE doc_id % 10 <> 0) SELECT path, sha256(text) AS fingerprint, doc_id % 10 <> 1 AS taken_over, CAST(CASE WHEN doc_id % 10 = 2 THEN 2000 ELSE 1000 END AS DOUBLE) AS mtime FROM e WHERE {BYTES} <= 20000")
+def refresh_incremental(spark, d):
+    """A second refresh, after some files are gone, changed or touched: which rows are taken over from the first."""
+    store, (first, _) = refreshed(spark, d, True)
+    files = store.table("files")
+    edited = docs_source(spark, d, 20_000, True).read(docs_source(spark, d, 20_000, True).manifest())[0].select("path", "fingerprint")
+    newest = files.agg(F.max("batch")).first()[0]
+    return files.join(edited, ["path", "fingerprint"]).select("path", "fingerprint", (F.col("batch") < newest).alias("taken_over"), "mtime")
+
+
+@query("SELECT 'none' AS \"table\", 'none' AS key, 'none' AS violation WHERE false")
+def index_is_valid(spark, d):
+    """Rows of a refreshed index that break its structure: none."""
+    return validate.check(refreshed(spark, d, False)[0])
+
+
+@query(f"WITH {CHUNKS} SELECT id, CASE WHEN length(path) % 5 = 0 THEN 'source read failed' WHEN length(path) % 5 = 1 THEN 'source changed since it was indexed' WHEN e % 7 = 0 THEN 'range is not in the source' WHEN e % 7 = 1 THEN 'text differs from the source' END AS reason FROM chunks WHERE kind = 'block'")
+def hydrate_checks(spark, d):
+    """Line chunks against sources of which some are missing, changed or shorter, and texts of which some are others."""
+    chunks = line_chunks(spark, d).filter("kind = 'block'")
+    moved = chunks.select("id", "path", "byte_start", F.when(F.col("byte_end") % 7 == 0, F.col("byte_end") + (1 << 40)).otherwise(F.col("byte_end")).alias("byte_end"), F.when(F.col("byte_end") % 7 == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"))
+    files = corpus(spark, d).select("path", F.sha2(F.encode("text", "UTF-8"), 256).alias("fingerprint"), "text")
+    now = files.filter(F.length("path") % 5 != 0).withColumn("fingerprint", F.when(F.length("path") % 5 == 1, "other").otherwise(F.col("fingerprint")))
+    return hydrate.hydrated(moved, files.select("path", "fingerprint"), now)[0].select("id", "reason")
 
 
 VIOLATIONS = """c AS (SELECT CAST(vec_id AS VARCHAR) AS id, concat('f', label) AS path, vec_id, label FROM embeddings), f AS (SELECT path, id FROM c UNION ALL SELECT DISTINCT path, 'none' FROM c UNION ALL SELECT 'f0', '1'),
@@ -716,17 +838,35 @@ def diagnostics_dedup(spark, d):
 
 # The whole search
 
-E2E = LISTS.replace(" {}", """, f AS (SELECT id, coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + l.rank), 0) AS score FROM v FULL JOIN l USING (id)), k AS (SELECT * FROM f ORDER BY score DESC, id LIMIT 5)
-SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank, path, left(text, 80) AS head FROM k JOIN corpus ON doc_id = id WHERE score >= 0.01""")
+
+@dataclass(frozen=True)
+class FirstVector:
+    """An embedder that gives one vector, whatever the text."""
+
+    values: list[float]
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        return [self.values for _ in texts]
+
+
+def docs_index(spark: SparkSession, d: str) -> Index:
+    """Each document as one chunk, with the vector of its number."""
+    docs = corpus(spark, d)
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    chunks = docs.select(F.col("doc_id").cast("string").alias("id"), "path", F.lit("file").alias("kind"), F.lit(0).cast("long").alias("byte_start"), F.octet_length("text").cast("long").alias("byte_end"), F.lit(1).alias("line_start"), lines.alias("line_end"), "text", "language")
+    near = vec(spark, d).select(F.col("id").cast("string").alias("id"), "embedding")
+    symbols = spark.createDataFrame([], chunking.SYMBOLS)
+    return Index(chunks, near, symbols, docs.select("path", "text"), *stored_postings(spark, d))
+
+E2E = LISTS.replace("doc_id AS id", "CAST(doc_id AS VARCHAR) AS id").replace("DESC, doc_id", "DESC, CAST(doc_id AS VARCHAR)").replace("vec_id AS id", "CAST(vec_id AS VARCHAR) AS id").replace(" {}", """, f AS (SELECT id, coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + l.rank), 0) AS score FROM v FULL JOIN l USING (id)), k AS (SELECT * FROM f ORDER BY score DESC, id LIMIT 5)
+SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank, path, left(text, 80) AS head FROM k JOIN corpus ON CAST(doc_id AS VARCHAR) = id WHERE score >= 0.01""")
 
 
 @query(E2E)
 def search_e2e(spark, d):
-    """Hybrid search: cosine and BM25 candidates, fused by ranks, top five, threshold, and wide columns joined last."""
-    fused = fusion.fuse(*lists(spark, d), 60, 25).select("id", "score")
-    top = fusion.ranked(fusion.top_then_threshold(fused, 5, 0.01))
-    docs = corpus(spark, d).select(F.col("doc_id").alias("id"), "path", F.substring("text", 1, 80).alias("head"))
-    return rounded(docs.join(F.broadcast(top), "id")).select("id", "score", F.col("rank").cast("long").alias("rank"), "path", "head")
+    """Hybrid search by the pipeline: cosine and BM25 candidates, fused by ranks, top five, threshold, and wide columns joined last."""
+    found = search(docs_index(spark, d), "der OR heed OR with", FirstVector(query_vector(spark, d)), parse({}, {}), k=5).results
+    return rounded(found).select("id", "score", F.col("rank").cast("long").alias("rank"), "path", F.substring("text", 1, 80).alias("head"))
 
 
 @query()

@@ -123,8 +123,8 @@ def search(index: Index, query: str, embedder: Embedder | None, options: Options
             said.append(f"Rerank failed: {error}")
     best = ranked.orderBy(F.desc("score"), "id").limit(k)
     least = F.col("final_score") >= max(0.0, options["minFinalScore"])
-    counted = best.agg(F.count("*").alias("n"), F.coalesce(F.sum((~least).cast("int")), F.lit(0)).alias("below")).first()
-    status = {"candidate_count": fused.count(), "filtered_count": counted["below"], "best_score": ranked.agg(F.max("final_score")).first()[0], "incomplete": capped}
+    counted = fusion.status_counts(best.select(F.col("final_score").alias("score")), options["minFinalScore"]).first()
+    status = {"candidate_count": fused.count(), "filtered_count": counted["filtered"], "best_score": ranked.agg(F.max("final_score")).first()[0], "incomplete": capped}
     if paths and capped:
         said.append(CAPPED)
     if index.diagnostics is not None:

@@ -165,6 +165,11 @@ def decoded(content: Column) -> Column:
 def read(spark: SparkSession, root: str, manifest: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(files, diagnostics): files (path, language, fingerprint, size, mtime, ctime, text); diagnostics (path, code, message) of those left out."""
     joined = manifest.join(contents(spark, root, manifest, max_bytes), "path", "left").filter((F.col("size") > max_bytes) | F.col("content").isNotNull())
+    return sorted_out(joined, max_bytes)
+
+
+def sorted_out(joined: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(files, diagnostics) of a manifest with contents."""
     large = F.col("size") > max_bytes
     binary = F.coalesce(binary_looking(F.col("content")), F.lit(False))
     files = joined.filter(~large & ~binary).select("path", language_of(F.col("path")).alias("language"), F.sha2("content", 256).alias("fingerprint"), "size", "mtime", "ctime", decoded(F.col("content")).alias("text"))
