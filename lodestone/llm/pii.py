@@ -1,14 +1,16 @@
 """Personal data and secrets by weak supervision.
 
 Four base patterns (email, ip, card, phone) always stand. Beyond them, *candidates* are tokens with a
-digit, or after a cue word such as ``password``. Labelers vote on each candidate, private (1), not (0) or
-abstain: patterns (key=value, known key formats, hex strings, mixed character classes), gazetteers (cue
-words before it; reserved example names; units after it) and context (quotes, plain-number surroundings). The counts of
-all vote patterns of the corpus go to expectation-maximisation, which estimates each labeler's
+digit, tokens after a cue word such as ``password``, and numbers of 12 to 19 digits in groups. Labelers
+vote on each candidate, private (1), not (0) or abstain: patterns (key=value, known key formats, hex
+strings, mixed character classes, lengths and check digits of account numbers), gazetteers (cue words
+before it; reserved example names; units after it) and context (quotes, plain-number surroundings). The
+counts of all vote patterns of the corpus go to expectation-maximisation, which estimates each labeler's
 reliability and the probability of each pattern; on these probabilities, for a bounded sample of
 ``SAMPLE`` candidates, a logistic span classifier is trained on shape and context features, and it
-decides about every candidate. Candidates that it finds private, outside the base spans, are added as
-``secret``.
+decides about every candidate. Candidates that it finds private, outside the base spans, are added, as
+``account`` if they are numbers of an account's length or carry an account's check digits, and as
+``secret`` if not. Names and postal addresses are not looked for.
 
 Defined results: null and empty texts have no spans; base spans of different kinds may overlap; very
 long texts are scanned whole, in linear time; repeated rows give the same row each; an empty table, or a
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import Scratch
 from lodestone.llm.wordbpe import texts_of
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "account")
 SAMPLE, PLACES, SURE = 20_000, 1 << 12, 0.9
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -91,6 +93,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 #: Words before a secret; words that name what a number counts; parts of names reserved for examples.
 CUES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "key", "bearer", "credential")
+ACCOUNTS = ("card", "account", "iban", "visa", "mastercard", "konto", "karte", "carte", "compte", "tarjeta", "cuenta", "acct")
 UNITS = ("kg", "km", "cm", "mm", "eur", "usd", "percent", "years", "days", "hours", "pages", "chapter")
 RESERVED = ("example", "test", "sample", "dummy", "placeholder", "localhost", "xxxx")
 
@@ -98,13 +101,24 @@ BREAK = frozenset(" \t\n\x0b\x0c\r\"'`,;()[]{}<>=|")
 DIGIT = re.compile("[0-9]")
 CUE = re.compile(r"(?i)\b(?:" + "|".join(CUES) + r")\b[\x20\t]*[=:][\x20\t]*[\"']?")
 KNOWN = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{36}$|sk[-_][A-Za-z0-9_-]{20,}$|xox[abprs]-[A-Za-z0-9-]{10,}$|eyJ[A-Za-z0-9_.-]{20,}$")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$")
 HEX = re.compile(r"[0-9a-f]{16,}$|[0-9A-F]{16,}$")
 ORDINARY = re.compile(r"[0-9]{1,4}(?:[.:/,%-][0-9]{1,4})*[a-z%]{0,3}[.:!?]*$|[A-Za-z]+[0-9]{1,3}[.:!?]*$")
 
 
+def is_number(token: str) -> bool:
+    """Digits alone, or in groups, of the length of a card's or an account's number."""
+    return 12 <= len(digits_of(token)) <= 19 and all("0" <= c <= "9" or c in " -" for c in token)
+
+
+def is_iban(token: str) -> bool:
+    """By its form and the remainder of its check digits."""
+    return bool(IBAN.match(token)) and int("".join(str(int(c, 36)) for c in token[4:] + token[:4])) % 97 == 1
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Tokens of eight characters or more with a digit, and tokens after a cue with = or :."""
-    found, at, n = set(), 0, len(text)
+    """Tokens of eight characters or more with a digit, tokens after a cue with = or :, and grouped numbers of an account's length."""
+    found, at, n = {m.span() for chunk in NUMERIC.finditer(text) if chunk.end() - chunk.start() >= 12 for m in CARD.finditer(text, *chunk.span()) if is_number(m[0])}, 0, len(text)
     while (m := DIGIT.search(text, at)) is not None:
         a = b = m.start()
         while a > at and text[a - 1] not in BREAK:
@@ -123,10 +137,14 @@ def candidates(text: str) -> list[tuple[int, int]]:
                 found.add((a, b))
     trimmed = set()
     for a, b in found:
-        while b > a and text[b - 1] in ".:!?":
+        while b > a and text[b - 1] in ".:!?$%*&#":
             b -= 1
         trimmed.add((a, b))
-    return sorted(trimmed)
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(trimmed, key=lambda s: (s[0], -s[1])):
+        if not out or a >= out[-1][1]:  # a token within a grouped number is part of it
+            out.append((a, b))
+    return out
 
 
 def surroundings(text: str, a: int, b: int) -> tuple[str, str]:
@@ -142,16 +160,21 @@ def votes(text: str, a: int, b: int) -> str:
     tail = before.rstrip(" =:\"'\t")
     last = re.split(r"[^a-z_]+", tail)[-1] if tail else ""
     first = re.split(r"[^a-z]+", after.lstrip())[0]
+    number, kinds = is_number(token), len(set(digits_of(token)))
     return "".join((
         "1" if re.search(r"(?:" + "|".join(CUES) + r")[\x20\t]*[=:][\x20\t]*[\"']?$", before) else "-",
         "1" if KNOWN.match(token) else "-",
         "1" if HEX.match(token) and not token.isdigit() else "-",
-        "1" if len(token) >= 12 and classes >= 2 and switches >= 3 and token.isalnum() else "0" if switches <= 1 else "-",
+        "1" if len(token) >= 12 and classes >= 2 and switches >= 3 and token.isalnum() else "0" if switches <= 1 and not number else "-",
         "1" if last in CUES else "-",
         "0" if any(r in token.lower() for r in RESERVED) else "-",
         "0" if first in UNITS else "-",
         "1" if a and text[a - 1] in "\"'=" and len(token) >= 12 else "-",
         "0" if ORDINARY.match(token) else "-",
+        "1" if number and len(token) in (16, 19) else "-",
+        "1" if number and kinds >= 5 else "0" if number and kinds <= 3 else "-",
+        "1" if (number or is_iban(token)) and any(w in ACCOUNTS for w in re.split(r"[^a-z]+", before)) else "-",
+        "1" if is_iban(token) else "-",
     ))
 
 
@@ -215,13 +238,13 @@ def train(rows: list[tuple[list[int], float]], epochs: int = 200, rate: float =
     return w
 
 
-SCAN = "doc_id long, base array<struct<kind:int,start:int,end:int>>, found array<struct<start:int,end:int,votes:string,places:array<int>>>"
+SCAN = "doc_id long, base array<struct<kind:int,start:int,end:int>>, found array<struct<kind:int,start:int,end:int,votes:string,places:array<int>>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Base spans and candidates (with votes and features) of each text."""
     base_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    found_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("votes", pa.string()), ("places", pa.list_(pa.int32()))]))
+    found_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.string()), ("places", pa.list_(pa.int32()))]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in texts_of(batches):
@@ -234,7 +257,8 @@ def scan(docs: DataFrame) -> DataFrame:
                     while i < len(spans) and spans[i][2] <= a and (i + 1 == len(spans) or spans[i + 1][0] <= a):
                         i += 1
                     if not any(s < b and a < e for s, _, e in spans[max(0, i - 4) : i + 4]):
-                        own.append({"start": a, "end": b, "votes": votes(text, a, b), "places": features(text, a, b)})
+                        token = text[a:b]
+                        own.append({"kind": KINDS.index("account" if is_number(token) or is_iban(token) else "secret"), "start": a, "end": b, "votes": votes(text, a, b), "places": features(text, a, b)})
                 found.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(base, base_type), pa.array(found, found_type)], ["doc_id", "base", "found"])
 
@@ -252,7 +276,7 @@ def fit(scanned: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
 
 def report(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, n_secret, base_sha256, spans)."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_account, n_private, base_sha256, spans); n_private counts all spans."""
     scanned = scratch.keep(scan(docs), "scanned")
     shared = docs.sparkSession.sparkContext.broadcast(fit(scanned))
 
@@ -262,12 +286,11 @@ def report(docs: DataFrame, scratch: Scratch) -> DataFrame:
             rows = []
             for row in batch.to_pylist():
                 base = [(s["start"], s["kind"], s["end"]) for s in row["base"]]
-                secret = KINDS.index("secret")
-                added = [(c["start"], secret, c["end"]) for c in row["found"] if 1 / (1 + np.exp(-(w[c["places"]].sum() + w[-1]))) >= SURE]
+                added = [(c["start"], c["kind"], c["end"]) for c in row["found"] if 1 / (1 + np.exp(-(w[c["places"]].sum() + w[-1]))) >= SURE]
                 said = [",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans)) for spans in (base, base + added)]
-                rows.append((row["doc_id"], *(sum(k == i for _, k, _ in base) for i in range(4)), len(added), hashlib.sha256(said[0].encode()).hexdigest(), said[1]))
-            columns = list(zip(*rows)) or [()] * 8
-            kinds = [pa.int64()] * 6 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_secret", "base_sha256", "spans"])
+                rows.append((row["doc_id"], *(sum(k == i for _, k, _ in base) for i in range(4)), *(sum(k == i for _, k, _ in added) for i in (4, 5)), len(base) + len(added), hashlib.sha256(said[0].encode()).hexdigest(), said[1]))
+            columns = list(zip(*rows)) or [()] * 10
+            kinds = [pa.int64()] * 8 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_secret", "n_account", "n_private", "base_sha256", "spans"])
 
-    return scanned.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_secret long, base_sha256 string, spans string")
+    return scanned.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_secret long, n_account long, n_private long, base_sha256 string, spans string")

@@ -82,3 +82,36 @@ def test_report(spark):
 
 def test_empty(spark):
     assert pii.report(frame(spark, []), Scratch(spark, "t")).count() == 0
+
+
+def planted_rows(rng):
+    """(doc_id, text, {kind: spans}): each kind in many contexts, and numbers that aren't private."""
+    rows = []
+    for i in range(400):
+        kind = ("secret", "account", "iban", None)[i % 4]
+        digits = "".join(rng.choice("0123456789") for _ in range(16))
+        while kind == "account" and pii.luhn(digits):
+            digits = digits[:-1] + str((int(digits[-1]) + 1) % 10)
+        body = "".join(rng.choice("0123456789") for _ in range(18))
+        check = 98 - int(body + "131400") % 97
+        value = {"secret": "".join(rng.choice("0123456789abcdef") for _ in range(40)), "account": digits, "iban": f"DE{check:02d}{body}", None: rng.choice(["1999", "3.5", "12:30", "chapter4", "111111111111", "2,000", "version2"])}[kind]
+        lead = {"secret": rng.choice(['token = "', 'api_key: "', "password="]), "account": rng.choice(["", "card ", "number "]), "iban": rng.choice(["iban ", "account "]), None: ""}[kind]
+        text = f"{prose(rng, 12)} {lead}"
+        spans = [] if kind is None else [(("account" if kind == "iban" else kind), len(text), len(text) + len(value))]
+        rows.append((i, f"{text}{value}{'\"' if lead.endswith('\"') else ''} {prose(rng, 8)}", spans))
+    return rows
+
+
+def test_added_spans_are_found_by_kind(spark):
+    rows = planted_rows(random.Random(12))
+    got = {r["doc_id"]: r for r in pii.report(frame(spark, [(i, t, "en", "a") for i, t, _ in rows]), Scratch(spark, "t")).collect()}
+    for kind in ("secret", "account"):
+        planted = [(i, f"{k}:{a}:{b}") for i, _, spans in rows for k, a, b in spans if k == kind]
+        hit = sum(s in got[i]["spans"].split(",") for i, s in planted)
+        assert hit >= 0.9 * len(planted), (kind, hit, len(planted))
+    assert all(got[i]["n_private"] == 0 for i, _, spans in rows if not spans)
+
+
+def test_grouped_numbers():
+    text = "pay 4000 1234 5678 9010 now, 12 3 or 1234-5678-9012"
+    assert [text[a:b] for a, b in pii.candidates(text)] == ["4000 1234 5678 9010", "1234-5678-9012"]
