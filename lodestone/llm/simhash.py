@@ -5,10 +5,11 @@ them. Two fingerprints are linked if they differ in at most ``RADIUS`` bits.
 
 Links are looked for among distinct fingerprints only. The 64 bits fall into six blocks; fingerprints
 that differ in three bits agree in three whole blocks, so each goes to the twenty buckets named by
-three of its blocks (about 32 bits). In a bucket, every fingerprint has a *pivot table*, its Hamming
-distances to ``PIVOTS`` reference fingerprints. Two of them can only be linked if no entry differs by
-more than ``RADIUS``: pairs that fail this are discarded, the others are verified on their bits. A
-bucket gives no pairs but a star for each of its connected sets, so what it emits is linear in its
+three of its blocks (about 32 bits). Each distinct fingerprint has a *pivot table*, its Hamming distances
+to ``PIVOTS`` reference fingerprints, which is computed once and goes with it to its buckets. Two
+fingerprints can only be linked if no entry differs by more than ``RADIUS``: pairs of a bucket that fail
+this are discarded, the others are verified on their bits. Buckets are what keeps the pairs from growing
+with the square of the input; within them the tables discard nearly all that isn't linked. A bucket gives no pairs but a star for each of its connected sets, so what it emits is linear in its
 size. A bucket of more than ``CROWD`` fingerprints (a large group of near copies) is not compared: its
 fingerprints are dealt out again by thirteen of sixteen blocks, and such a bucket can hold 4096 at most.
 
@@ -46,7 +47,12 @@ def fingerprint(text: str, shingle: int) -> int:
         return 0
     grams = map(b" ".join, zip(*[words[k:] for k in range(shingle)])) if len(words) >= shingle else [b" ".join(words)]
     n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, n).astype("<u8")
+    return majority(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    n, hashes = len(hashes), hashes.astype("<u8")
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 15):
         bits = np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -72,10 +78,22 @@ def masks(blocks: int, agree: int) -> list[int]:
     return [int(np.uint64(sum(chosen)).view(np.int64)) for chosen in combinations(block, agree)]
 
 
-def bucketed(prints: DataFrame, blocks: int, agree: int) -> DataFrame:
-    """(choice, bucket, fp) of distinct fingerprints, those of a bucket together and in order."""
+def with_pivots(prints: DataFrame) -> DataFrame:
+    """(fp, t0, t1) of distinct fingerprints (fp): the pivot table's bytes as two longs."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            packed = pivot_table(own.view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed[:, 0].copy()), pa.array(packed[:, 1].copy())], ["fp", "t0", "t1"])
+
+    return prints.select("fp").mapInArrow(run, "fp long, t0 long, t1 long")
+
+
+def bucketed(tables: DataFrame, blocks: int, agree: int) -> DataFrame:
+    """(choice, bucket, fp, t0, t1) of distinct fingerprints with pivot tables, those of a bucket together and in order."""
     keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for i, m in enumerate(masks(blocks, agree))])
-    return prints.select("fp", F.explode(keys).alias("key")).select("key.choice", "key.bucket", "fp").repartition("choice", "bucket").sortWithinPartitions("choice", "bucket", "fp")
+    return tables.select("fp", "t0", "t1", F.explode(keys).alias("key")).select("key.choice", "key.bucket", "fp", "t0", "t1").repartition("choice", "bucket").sortWithinPartitions("choice", "bucket", "fp")
 
 
 def pivot_table(prints: np.ndarray) -> np.ndarray:
@@ -84,9 +102,9 @@ def pivot_table(prints: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[:, None] ^ pivots[None, :]).astype(np.int8)
 
 
-def linked_pairs(prints: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def linked_pairs(prints: np.ndarray, group: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of linked prints of one group (groups are consecutive), by pivot tables and then by their bits."""
-    table, left, right = pivot_table(prints), [], []
+    left, right = [], []
     at, lag = np.arange(len(prints)), 1
     while len(at):
         at = at[at + lag < len(prints)]
@@ -120,11 +138,11 @@ def compare(buckets: DataFrame, crowd: int) -> DataFrame:
     """(fp, to): a link of the star kind, or to null for a fingerprint in a bucket of more than ``crowd``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3  # choice, bucket and print of the last bucket so far
+        held = [np.empty(0, np.int64)] * 5  # choice, bucket, print and table of the last bucket so far
         crowded = None  # the bucket that has been passed on in part
 
         def out(rows: list[np.ndarray]) -> pa.RecordBatch:
-            choice, bucket, prints = rows
+            choice, bucket, prints, t0, t1 = rows
             edge = np.flatnonzero((np.diff(choice) != 0) | (np.diff(bucket) != 0)) + 1
             starts = np.concatenate([[0], edge])
             sizes = np.diff(np.concatenate([starts, [len(prints)]]))
@@ -132,7 +150,8 @@ def compare(buckets: DataFrame, crowd: int) -> DataFrame:
             keep = ~large
             group = np.repeat(np.arange(len(sizes)), sizes)[keep]
             own = prints[keep].view(np.uint64)
-            a, b = stars(own, *linked_pairs(own, group))
+            table = np.column_stack([t0[keep], t1[keep]]).view(np.int8)
+            a, b = stars(own, *linked_pairs(own, group, table))
             alone = np.unique(prints[large])
             to = pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(alone), pa.int64())])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, alone]), pa.int64()), to], ["fp", "to"])
@@ -166,8 +185,9 @@ def compare(buckets: DataFrame, crowd: int) -> DataFrame:
 
 def links(prints: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) of distinct fingerprints: links enough to connect what is linked."""
-    first = scratch.keep(compare(bucketed(prints, 6, 3), CROWD).distinct(), "links")
-    crowd = first.filter("to is null").select("fp")
+    tables = scratch.keep(with_pivots(prints), "pivot_tables")
+    first = scratch.keep(compare(bucketed(tables, 6, 3), CROWD).distinct(), "links")
+    crowd = tables.join(first.filter("to is null").select("fp"), "fp", "left_semi")
     second = scratch.keep(compare(bucketed(crowd, 16, 13), 1 << 12).distinct(), "links_of_crowds")
     return first.filter("to is not null").unionByName(second).select(F.col("fp").alias("a"), F.col("to").alias("b"))
 
