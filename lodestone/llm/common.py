@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ BLANKS = " \t\n\x0b\f\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 
 #: A side of a join is broadcast only up to so many rows of at most about a hundred bytes.
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,19 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
-    ``keep`` writes a frame and reads it back. ``drop`` deletes all that this scratch has kept; a scratch
-    that ``replaces`` drops the last one of its owner, whose results have been consumed by then.
+    ``keep`` writes a frame and reads it back. ``drop`` deletes all that this scratch has kept, ``part`` is a
+    scratch inside it; a scratch that ``replaces`` drops the last one of its owner in this thread, whose
+    results have been consumed by then.
     """
 
-    _last: dict[str, Scratch] = {}
+    _last: dict[tuple[int, str], Scratch] = {}
 
     def __init__(self, spark: SparkSession, owner: str, replaces: bool = False):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tables/{owner}-{uuid.uuid4().hex}"
         if replaces:
-            if owner in Scratch._last:
-                Scratch._last[owner].drop()
-            Scratch._last[owner] = self
+            mine = (threading.get_ident(), owner)
+            if mine in Scratch._last:
+                Scratch._last[mine].drop()
+            Scratch._last[mine] = self
+
+    def part(self, name: str) -> Scratch:
+        inner = Scratch(self.spark, name)
+        inner.root = f"{self.root}/{name}"
+        return inner
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -51,9 +59,16 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame, marked for broadcast if a count (of a written table) proves it small; else as it is, for a shuffled join."""
-    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+def small(frame: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """The frame, marked for broadcast if a count (of a written table) proves it small; else as it is, for a shuffled join.
+
+    size: the bytes of a row's columns of no fixed length, of which all rows may have ``BROADCAST_BYTES``.
+    """
+    if frame.limit(rows + 1).count() > rows:
+        return frame
+    if size is not None and frame.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] > BROADCAST_BYTES:
+        return frame
+    return F.broadcast(frame)
 
 
 def trimmed(text: Column) -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch
+from lodestone.llm.common import Scratch, small
 
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,7 +70,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> Da
     texts = texts.dropDuplicates(["doc_id", "key"]) if total > SET_ROWS else texts
     hit = texts.join(r, F.col("doc_id").eqNullSafe(F.col("r_doc_id")) & (F.col("key") == F.col("r_key")))
     read = F.transform("hits", lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at"), F.array_join(F.slice("w", x["at"] + 1, x["n"]), " ").alias("window")))
-    verified = hit.select("doc_id", "key", F.explode(read).alias("hit")).select("doc_id", "key", "hit.*").join(_bounded(windows.select("n", "window", "items"), sum(sizes.values())), ["n", "window"])
+    verified = hit.select("doc_id", "key", F.explode(read).alias("hit")).select("doc_id", "key", "hit.*").join(small(windows.select("n", "window", "items"), SET_ROWS, F.octet_length("window") + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x))), ["n", "window"])
     places = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))))
     return verified.groupBy("doc_id", "key").agg(places.alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 

@@ -1,6 +1,9 @@
 """Near copies as the pipeline's stage means them: Jaccard similarity of five-word shingles of 0.8 or more.
 
-Documents of equal shingle sets are folded first. A set has a signature of ``HASHES`` smallest hashes,
+Documents of equal shingle sets are folded first. Candidates come from two searches. The first is
+``simhash``: the sets' fingerprints, linked within its radius by pivot tables. At a similarity of 0.8 some
+ten of 64 bits differ, and no pivot table tells that from the thirty-two of unrelated sets without
+comparing all; so a second search goes on from there. A set has a signature of ``HASHES`` smallest hashes,
 and each ``BAND`` of them names a bucket; two sets at similarity 0.8 share a bucket with a probability of
 1 - (1 - 0.8 ** 4) ** 24 = 0.999997. What shares a bucket is compared in two steps. Each set of a bucket
 is compared with the bucket's smallest; then, in buckets whose sets are still of several components,
@@ -22,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, small
-from lodestone.llm.simhash import components, keep_first
+from lodestone.llm.simhash import components, keep_first, majority
+from lodestone.llm.simhash import links as print_links
 from lodestone.llm.wordbpe import texts_of
 
 SEED, SHINGLE = 42, 5
@@ -62,15 +66,24 @@ def signature(own: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, sig): key names the shingle set, sig is its signature."""
+    """(doc_id, key, sig, fp): key names the shingle set, sig is its signature and fp its fingerprint."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in texts_of(batches):
             sets = [shingles(t) for t in texts]
             columns = [pa.array(ids, pa.int64()), pa.array([key_of(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "sig"])
+            prints = np.array([majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(prints)], ["doc_id", "key", "sig", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, sig binary, fp long")
+
+
+def print_pairs(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b) of sets (key, fp): those of one fingerprint with the first of it, and firsts of linked fingerprints."""
+    first = scratch.keep(sets.groupBy("fp").agg(F.min("key").alias("a")), "firsts")
+    equal = sets.join(first, "fp").filter("key <> a").select("a", F.col("key").alias("b"))
+    linked = print_links(first.select("fp"), scratch).join(first.withColumnRenamed("fp", "b").withColumnRenamed("a", "_b"), "b")
+    return equal.unionByName(linked.join(first.withColumnRenamed("a", "_a"), F.col("a") == F.col("fp")).select(F.col("_b").alias("a"), F.col("_a").alias("b")))
 
 
 def shared_buckets(sets: DataFrame) -> DataFrame:
@@ -166,19 +179,20 @@ def alike(mixed: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, component_id): component_id is the smallest doc_id that links lead to."""
     found = scratch.keep(sketches(docs), "sketches")
-    sets = scratch.keep(found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig")), "sets")
+    sets = scratch.keep(found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"), F.min("fp").alias("fp")), "sets")
     shared = scratch.keep(shared_buckets(sets), "shared")
     heads = sets.select("key", "doc_id")
-    tried = scratch.keep(shared.filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct(), "tried")
+    near = print_pairs(sets.select("key", "fp"), scratch.part("prints")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = scratch.keep(shared.filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).unionByName(near).distinct(), "tried")
     links = verified(tried, docs, heads, scratch, "links")
-    roots = components(links, Scratch(scratch.spark, "neardup_first"))
+    roots = components(links, scratch.part("first"))
     rooted = shared.join(small(scratch.keep(roots.withColumnRenamed("node", "key"), "roots")), "key", "left").withColumn("root", F.coalesce("root", "key"))
     bucket = Window.partitionBy("bucket")
     mixed = scratch.keep(rooted.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).filter("low <> high").select("bucket", "root", "key"), "mixed")
     more = scratch.keep(alike(mixed.join(sets.select("key", "sig"), "key")).join(tried, ["a", "b"], "left_anti"), "alike")
     if not more.isEmpty():
         links = links.unionByName(verified(more, docs, heads, scratch, "more_links"))
-        roots = components(links, Scratch(scratch.spark, "neardup_second"))
+        roots = components(links, scratch.part("second"))
     named = heads.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("key", "component_id")
     return found.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")

@@ -156,7 +156,7 @@ def judge(docs: DataFrame, scratch: Scratch, rules: QualityRules = QualityRules(
     frequent = scratch.keep(frequent_lines(lined, rules), "frequent_lines")
     removed = scratch.keep(removals(lined, small(frequent)), "removals")
     judged = lined.drop("items", "form")
-    removed = small(removed if places else removed.drop("removed_at"))
+    removed = small(removed, size=4 * F.size("removed_at")) if places else small(removed.drop("removed_at"))
     r = removed.select(*[F.col(c).alias(f"r_{c}") for c in removed.columns])
     joined = judged.join(r, F.col("doc_id").eqNullSafe(F.col("r_doc_id")) & (F.col("key") == F.col("r_key")) & (F.col("host") == F.col("r_host")), "left")
     gone = F.coalesce("r_removed_words", F.lit(0))
@@ -173,7 +173,7 @@ def clean(docs: DataFrame, scratch: Scratch, rules: QualityRules = QualityRules(
     """
     judged = judge(docs, scratch, rules, places=True).select("doc_id", "key", "host", "kept", F.col("r_removed_at").alias("at"))
     verdicts = scratch.keep(judged, "verdicts").filter("not kept or at is not null").dropDuplicates(["doc_id", "key", "host"])
-    v = small(scratch.keep(verdicts.select(*[F.col(c).alias(f"v_{c}") for c in verdicts.columns]), "changes"))
+    v = small(scratch.keep(verdicts.select(*[F.col(c).alias(f"v_{c}") for c in verdicts.columns]), "changes"), size=4 * F.size(F.coalesce("v_at", F.array().cast("array<int>"))))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("l_doc_id"), F.xxhash64("text").alias("l_key"), F.coalesce("source", F.lit("")).alias("l_host"))
     joined = rows.join(v, F.col("l_doc_id").eqNullSafe(F.col("v_doc_id")) & (F.col("l_key") == F.col("v_key")) & (F.col("l_host") == F.col("v_host")), "left").filter(F.coalesce("v_kept", F.lit(True)))
     lines = F.split(F.col("row.text"), "\n")
