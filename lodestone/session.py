@@ -26,10 +26,12 @@ def session(name: str = "lodestone", master: str | None = None) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new folder where none is set (tests)."""
+    """spark.checkpoint.dir, or in local mode a new folder where none is set (tests). A cluster has to name one."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
