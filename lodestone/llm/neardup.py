@@ -8,8 +8,10 @@ and each ``BAND`` of them names a bucket; two sets at similarity 0.8 share a buc
 1 - (1 - 0.8 ** 4) ** 24 = 0.999997. What shares a bucket is compared in two steps. Each set of a bucket
 is compared with the bucket's smallest; then, in buckets whose sets are still of several components,
 sets of different components are compared by signatures, and those that agree in ``ALIKE`` hashes
-(five standard deviations below 0.8) exactly. So a group of copies costs a comparison a copy and bucket,
-and only sets of a bucket that are no copies of each other cost pairs. Every link is verified on the
+(five standard deviations below 0.8) exactly, where they meet first. A bucket's sets are held for that, so
+no pairs but links leave it; beyond ``HELD`` bytes its pairs are verified elsewhere. So a group of copies
+costs a comparison a copy and bucket, and only sets of a bucket that are no copies of each other are
+compared in pairs. Every link is verified on the
 shingle sets, and components are formed of the links as in ``simhash``.
 
 Defined results: as in ``simhash``; the texts without words are one group.
@@ -35,8 +37,8 @@ PERCENT = 80
 HASHES, BAND, ALIKE = 96, 4, 57
 #: Parts that the comparisons with one set are dealt to.
 PARTS = 16
-#: Sets that are compared at once.
-STEP = 32
+#: Sets that are formed at once, and bytes of a bucket's sets that a task holds.
+STEP, HELD = 32, 64 << 20
 
 
 def shingles(text: str) -> np.ndarray:
@@ -87,7 +89,7 @@ def print_pairs(sets: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def shared_buckets(sets: DataFrame) -> DataFrame:
-    """(bucket, key, least) of the buckets of several sets; least is the bucket's smallest key. sets: key, sig."""
+    """(bucket, band, key, least) of the buckets of several sets; least is the bucket's smallest key. sets: key, sig."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -95,18 +97,16 @@ def shared_buckets(sets: DataFrame) -> DataFrame:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             buckets = [xxhash.xxh64_intdigest(s[4 * k : 4 * (k + BAND)], k) for s in batch.column(1).to_pylist() for k in range(0, HASHES, BAND)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(buckets, np.uint64).view(np.int64)), pa.array(np.repeat(keys, HASHES // BAND))], ["bucket", "key"])
+            bands = np.tile(np.arange(HASHES // BAND, dtype=np.int32), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(buckets, np.uint64).view(np.int64)), pa.array(bands), pa.array(np.repeat(keys, HASHES // BAND))], ["bucket", "band", "key"])
 
     bucket = Window.partitionBy("bucket")
-    rows = sets.select("key", "sig").mapInArrow(run, "bucket long, key long")
-    return rows.withColumn("n", F.count("*").over(bucket)).withColumn("least", F.min("key").over(bucket)).filter("n > 1").select("bucket", "key", "least")
+    rows = sets.select("key", "sig").mapInArrow(run, "bucket long, band int, key long")
+    return rows.withColumn("n", F.count("*").over(bucket)).withColumn("least", F.min("key").over(bucket)).filter("n > 1").select("bucket", "band", "key", "least")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of similar sets. heads: key, and the doc_id of a document of the set.
-
-    Sets are formed again from the texts of the documents concerned, and each b travels once per a.
-    """
+def formed(keys: DataFrame, docs: DataFrame, heads: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(key, own): the shingle sets of the keys, from the texts of their heads."""
 
     def form(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in texts_of(batches):
@@ -114,6 +114,18 @@ def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, scratch: Scrat
                 sets = [shingles(t) for t in texts[at : at + STEP]]
                 yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "own"])
 
+    ids = small(scratch.keep(heads.join(keys, "key", "left_semi").select(F.col("doc_id").alias("r_doc_id")).distinct(), f"{name}_ids"))
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("r_doc_id")), "left_semi")
+    # Repeated rows, and rows that repeat an id with another text, give sets again or sets that aren't asked for.
+    return texts.mapInArrow(form, "key long, own binary").join(keys, "key", "left_semi").dropDuplicates(["key"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of similar sets. heads: key, and the doc_id of a document of the set.
+
+    Sets are formed again from the texts of the documents concerned, and each b travels once per a.
+    """
+
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, own = None, np.empty(0, np.uint64)
         for batch in batches:
@@ -133,9 +145,7 @@ def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, scratch: Scrat
 
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
     concerned = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    ids = small(scratch.keep(heads.join(concerned, "key", "left_semi").select(F.col("doc_id").alias("r_doc_id")).distinct(), f"{name}_ids"))
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("r_doc_id")), "left_semi")
-    sets = texts.mapInArrow(form, "key long, own binary")
+    sets = formed(concerned, docs, heads, scratch, name)
     first = pairs.select("a", "part").distinct().join(sets.withColumnRenamed("key", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "own")
     rest = pairs.join(sets.withColumnRenamed("key", "b"), "b").select("a", "part", "b", "own")
     rows = first.unionByName(rest).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
@@ -143,37 +153,51 @@ def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, scratch: Scrat
 
 
 def alike(mixed: DataFrame) -> DataFrame:
-    """(a, b), a < b, of the sets of a bucket, but of different roots, whose signatures agree enough. mixed: bucket, root, key, sig."""
+    """(a, b, sure), a < b, of sets of a bucket, but of different roots: sure ones are similar, others agree in their signatures.
 
-    def pairs(root: np.ndarray, key: np.ndarray, sig: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        hashes, left, right = np.frombuffer(b"".join(sig), "<u4").reshape(-1, HASHES), [], []
+    mixed: bucket, band, root, key, sig, own. A pair counts in the first of the bands that it shares.
+    """
+
+    def pairs(band: int, columns: tuple[list, ...], whole: bool) -> pa.RecordBatch:
+        root, key = (np.array(c, np.int64) for c in columns[:2])
+        hashes, left, right = np.frombuffer(b"".join(columns[2]), "<u4").reshape(-1, HASHES), [], []
+        own = [np.frombuffer(x, np.uint64) for x in columns[3]]
+        sizes = np.array([len(x) for x in own], np.int64)
         for at in range(len(key) - 1):
             later = at + 1 + np.flatnonzero(root[at + 1 :] != root[at])
-            later = later[(hashes[later] == hashes[at]).sum(axis=1) >= ALIKE]
+            same = hashes[later] == hashes[at]
+            near = same.sum(axis=1) >= ALIKE
+            near[near] = ~same[near][:, : band * BAND].reshape(int(near.sum()), band, BAND).all(axis=2).any(axis=1)
+            later = later[near]
+            if whole and len(later):
+                others = np.concatenate([own[i] for i in later])
+                place = np.minimum(np.searchsorted(own[at], others), sizes[at] - 1)
+                both = np.add.reduceat((own[at][place] == others).astype(np.int64), np.cumsum(sizes[later]) - sizes[later])
+                later = later[100 * both >= PERCENT * (sizes[at] + sizes[later] - both)]
             left.append(np.minimum(key[at], key[later]))
             right.append(np.maximum(key[at], key[later]))
-        return np.concatenate([np.empty(0, np.int64), *left]), np.concatenate([np.empty(0, np.int64), *right])
+        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (left, right))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), whole))], ["a", "b", "sure"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, ([], [], [])
-
-        def out() -> pa.RecordBatch:
-            a, b = pairs(np.array(held[0], np.int64), np.array(held[1], np.int64), held[2])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
+        bucket, band, held, size = None, 0, ([], [], [], []), 0
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if row[0] != bucket:
                     if len(held[0]) > 1:
-                        yield out()
-                    bucket, held = row[0], ([], [], [])
-                for column, value in zip(held, row[1:]):
-                    column.append(value)
+                        yield pairs(band, held, size <= HELD)
+                    bucket, band, held, size = row[0], row[1], ([], [], [], []), 0
+                size += len(row[5])
+                if size > HELD:
+                    held[3].clear()  # too many to hold; their signatures stay
+                for column, value in zip(held, row[2:]):
+                    if column is not held[3] or size <= HELD:
+                        column.append(value)
         if len(held[0]) > 1:
-            yield out()
+            yield pairs(band, held, size <= HELD)
 
-    rows = mixed.select("bucket", "root", "key", "sig").repartition("bucket").sortWithinPartitions("bucket", "root", "key")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    rows = mixed.select("bucket", "band", "root", "key", "sig", "own").repartition("bucket").sortWithinPartitions("bucket", "root", "key")
+    return rows.mapInArrow(run, "a long, b long, sure boolean").distinct()
 
 
 def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -188,10 +212,11 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     roots = components(links, scratch.part("first"))
     rooted = shared.join(small(scratch.keep(roots.withColumnRenamed("node", "key"), "roots")), "key", "left").withColumn("root", F.coalesce("root", "key"))
     bucket = Window.partitionBy("bucket")
-    mixed = scratch.keep(rooted.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).filter("low <> high").select("bucket", "root", "key"), "mixed")
-    more = scratch.keep(alike(mixed.join(sets.select("key", "sig"), "key")).join(tried, ["a", "b"], "left_anti"), "alike")
+    mixed = scratch.keep(rooted.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).filter("low <> high").select("bucket", "band", "root", "key"), "mixed")
+    own = scratch.keep(formed(mixed.select("key").distinct(), docs, heads, scratch, "mixed_sets"), "own")
+    more = scratch.keep(alike(mixed.join(sets.select("key", "sig"), "key").join(own, "key")).join(tried, ["a", "b"], "left_anti"), "alike")
     if not more.isEmpty():
-        links = links.unionByName(verified(more, docs, heads, scratch, "more_links"))
+        links = links.unionByName(more.filter("sure").select("a", "b")).unionByName(verified(more.filter("not sure").select("a", "b"), docs, heads, scratch, "more_links"))
         roots = components(links, scratch.part("second"))
     named = heads.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("key", "component_id")

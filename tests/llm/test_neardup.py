@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from lodestone.llm import neardup
@@ -44,7 +45,9 @@ def edited_rows():
     return rows
 
 
-def test_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("held", [neardup.HELD, 3000])
+def test_groups_equal_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(neardup, "HELD", held)
     rows = edited_rows()
     got = neardup.groups(frame(spark, rows, extra=True), Scratch(spark, "t")).collect()
     assert sorted(map(tuple, got), key=str) == sorted(naive_components(rows), key=str)
