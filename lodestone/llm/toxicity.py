@@ -40,6 +40,8 @@ PER_LABEL, EVIDENCE = 1_500, 20_000
 #: Hashed features, tokens on either side of a sequence's centre, tokens that are combined at once.
 PLACES, AROUND, RUN = 1 << 16, 8, 128
 MIN_DOCUMENTS = 5
+#: Marked tokens of a document, drawn from all of them, around which sequences are trained on.
+CENTRES = 6
 WORDS = re.compile(r"[^\W_]+")
 #: Upper limits of the bins of a feature's log-odds.
 BINS = np.array([-1.0, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0])
@@ -315,7 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, per_label: int = P
     random, sequences = np.random.default_rng(3), []
     for r, words in zip(rows, tokens):
         marked = [i for i, w in enumerate(words) if r["toxic"] and any(k in strong for k in parts(w))]
-        centres = marked[:6] + ([int(random.integers(len(words))) for _ in range(2)] if words else [])
+        centres = sorted(random.choice(marked, min(CENTRES, len(marked)), replace=False).tolist()) + ([int(random.integers(len(words))) for _ in range(2)] if words else [])
         for c in centres:
             cut = words[max(0, c - AROUND) : c + AROUND + 1]
             b = [bins[w] for w in cut]
