@@ -10,7 +10,8 @@ its marginal; the marginals' sum and maximum make the document score, by a logis
 the training sample, and runs of tokens above one half are the offending spans.
 
 Learning uses rows whose crc32(doc_id as text) mod 3 is not 1; the counts take all of those, the chain
-a bounded sample of ``PER_LABEL`` documents of each label, and ``EVIDENCE`` features at most are kept.
+a bounded sample of ``PER_LABEL`` documents of each label, and of the features found oftener in toxic documents than in any, by their odds,
+``EVIDENCE`` at most are kept.
 
 Defined results: a null or empty text has the score of no evidence, as has every text if nothing toxic
 is labelled; labels that are null, or of documents that are missing, are not used; a document labelled
@@ -65,8 +66,8 @@ def one_of_each_copy(training: DataFrame) -> DataFrame:
     return training.join(texts.groupBy("toxic", "same").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "doc_id", "left_semi")
 
 
-def evidence(training: DataFrame) -> dict[str, float]:
-    """Log-odds of toxic documents by key, for the keys with most evidence. training: doc_id, text, toxic."""
+def evidence(training: DataFrame, base: float) -> dict[str, float]:
+    """Log-odds of toxic documents by key, for the keys with most evidence over the base. training: doc_id, text, toxic."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, seen = Memo(parts), (Counter(), Counter())
@@ -87,7 +88,7 @@ def evidence(training: DataFrame) -> dict[str, float]:
 
     sums = training.mapInArrow(run, "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5))
-    rows = sums.filter(F.col("toxic") >= MIN_DOCUMENTS).withColumn("odds", odds).filter("odds > 0").orderBy(F.desc(F.col("toxic") * F.col("odds")), "key").limit(EVIDENCE).collect()  # bounded
+    rows = sums.filter(F.col("toxic") >= MIN_DOCUMENTS).withColumn("odds", odds).filter(F.col("odds") >= base + float(BINS[2])).orderBy(F.desc(F.col("toxic") * (F.col("odds") - base)), "key").limit(EVIDENCE).collect()  # bounded
     return {r["key"]: r["odds"] for r in rows}
 
 
@@ -308,9 +309,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, per_label: int = P
     rows = sorted(sample(training, "toxic", per_label).collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"] or ""))
     if len({r["toxic"] for r in rows}) < 2:
         return None
-    odds = evidence(training)
     balance = {r["toxic"]: r["n"] for r in training.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     base = float(np.log((balance[1] + 0.5) / (balance[0] + 0.5)))
+    odds = evidence(training, base)
     strong = {k for k, v in odds.items() if v - base >= STRONG}
     tokens = [WORDS.findall((r["text"] or "").lower()) for r in rows]
     bins = Memo(lambda w: bin_of(w, odds, base))
