@@ -23,9 +23,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +44,15 @@ FOLDS, HELD_OUT = 3, 1
 PER_LABEL, EVIDENCE = 1_500, 20_000
 #: Hashed features, tokens on either side of a sequence's centre, tokens that are combined at once.
 PLACES, AROUND, RUN = 1 << 16, 8, 128
+#: Characters of texts that are tagged at once.
+TAGGED = 1 << 20
 MIN_DOCUMENTS = 5
 #: Marked tokens of a document, drawn from all of them, around which sequences are trained on.
 CENTRES = 6
 WORDS = re.compile(r"[^\W_]+")
 #: Upper limits of the bins of a feature's log-odds.
-BINS = np.array([-1.0, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0])
+LIMITS = [-1.0, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0]
+BINS = np.array(LIMITS)
 #: Log-odds, over those of any document, from which a word or prefix marks tokens of toxic documents.
 STRONG = 4.0
 
@@ -81,7 +88,7 @@ def evidence(training: DataFrame, base: float) -> dict[str, float]:
 
         for batch in batches:
             for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                seen[int(toxic > 0)].update({k for w in set(WORDS.findall((text or "").lower())) for k in keys[w]})
+                seen[int(toxic > 0)].update(set().union(*map(keys.__getitem__, set(WORDS.findall((text or "").lower())))))
                 if len(seen[0]) + len(seen[1]) > 300_000:
                     yield out()
         yield out()
@@ -229,33 +236,72 @@ def train(sequences: list[tuple[list[list[int]], list[int], list[int]]], epochs:
     return Chain(own, left, right, move)
 
 
+#: What the hash of a feature begins with: the word, its last three letters, its beginnings of 3 to 8.
+MARKS = [(n, zlib.crc32(str(n).encode())) for n in range(3, 9)]
+WHOLE, LAST = zlib.crc32(b"="), zlib.crc32(b"$")
+
+
 class WordTable:
-    """Of each word its bin, its emission, and what it adds to its neighbours'; started anew between texts when large."""
+    """Of each word its bin, its emission, and what it adds to its neighbours'; started anew between texts when large.
+
+    The emission is the sum over ``features``, whose hashes are continued here from those of their marks.
+    """
 
     def __init__(self, model: ToxicityModel):
-        self.model = model
+        trained = model.chain
+        self.base, self.own, self.left, self.right = model.base, trained.own.tolist(), trained.left.tolist(), trained.right.tolist()
+        self.whole = {k[1:]: v for k, v in model.odds.items() if k[0] == "="}
+        self.begun = {k[1:]: v for k, v in model.odds.items() if k[0] == "^"}
         self._restart()
 
     def _restart(self) -> None:
-        self.table, self.places = np.empty((1 << 12, 4)), Memo(self._made, 1 << 62)
+        self.table, self.places = array("d"), Memo(self._made, 1 << 62)
 
     def _made(self, word: str) -> int:
-        at = len(self.places)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        chain, b = self.model.chain, bin_of(word, self.model.odds, self.model.base)
-        self.table[at] = b, chain.own[features(word, b)].sum(), chain.left[b], chain.right[b]
+        at, own, crc32, best = len(self.places), self.own, zlib.crc32, self.whole.get(word, -9.0)
+        for n in range(3, min(9, len(word))):
+            odds = self.begun.get(word[:n])
+            if odds is None:
+                continue
+            best = max(best, odds)
+        b = bisect_left(LIMITS, best - self.base)
+        data = word.encode("utf-8")
+        if len(data) == len(word):
+            beginnings, last = [data[:n] for n, _ in MARKS], data[-3:]
+        else:
+            beginnings, last = [word[:n].encode("utf-8") for n, _ in MARKS], word[-3:].encode("utf-8")
+        e = own[PLACES + b] + own[crc32(data, WHOLE) % PLACES] + own[crc32(last, LAST) % PLACES]
+        for (_, mark), beginning in zip(MARKS, beginnings):
+            e += own[crc32(beginning, mark) % PLACES]
+        self.table.extend((b, e, self.left[b], self.right[b]))
         return at
 
     def rows_of(self, token_lists: list[list[str]]) -> np.ndarray:
         if len(self.places) > MEMO:
             self._restart()
-        look_up = self.places.__getitem__
-        places = np.fromiter((i for t in token_lists for i in map(look_up, t)), np.int64, sum(map(len, token_lists)))
-        return self.table[places]
+        places = np.fromiter(map(self.places.__getitem__, chain.from_iterable(token_lists)), np.int64, sum(map(len, token_lists)))
+        return np.frombuffer(self.table).reshape(-1, 4)[places] if len(places) else np.empty((0, 4))
 
 
-@dataclass
+@lru_cache(1)
+def word_table(model: ToxicityModel) -> WordTable:
+    """A worker's words; kept from task to task."""
+    return WordTable(model)
+
+
+def groups_of(texts: list[str]) -> Iterator[slice]:
+    """Runs of texts of about ``TAGGED`` characters, which are tagged at once."""
+    start, size = 0, 0
+    for at, text in enumerate(texts):
+        size += len(text)
+        if size >= TAGGED:
+            yield slice(start, at + 1)
+            start, size = at + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+@dataclass(eq=False)
 class ToxicityModel:
     odds: dict[str, float]
     base: float
@@ -338,12 +384,12 @@ def _apply(docs: DataFrame, model: ToxicityModel | None, out, schema: str) -> Da
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        words = own.words() if own else None
+        words = word_table(own) if own else None
         for ids, texts in texts_of(batches):
-            for at in range(0, len(texts), 64):
-                part = texts[at : at + 64]
+            for run_of in groups_of(texts):
+                part = texts[run_of]
                 tagged = own.tag([WORDS.findall(t.lower()) for t in part], words) if own else [np.empty(0)] * len(part)
-                yield out(ids[at : at + 64], part, tagged, own.scores(tagged) if own else np.zeros(len(part)))
+                yield out(ids[run_of], part, tagged, own.scores(tagged) if own else np.zeros(len(part)))
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -138,7 +138,7 @@ def test_toxic_evidence_counts_all_different_texts(spark, monkeypatch):
     texts = [" ".join(rng.sample(words, 30)) for _ in range(40)]
     rows = [(i, t, "en", "a") for i, t in enumerate([x for t in texts for x in (t, f" {t.upper()}!")])]
     counted = []
-    monkeypatch.setattr(toxicity, "evidence", lambda training: counted.extend(r["text"].lower().strip(" !") for r in training.collect()) or {})
+    monkeypatch.setattr(toxicity, "evidence", lambda training, base: counted.extend(r["text"].lower().strip(" !") for r in training.collect()) or {})
     toxicity.fit(frame(spark, rows), spark.createDataFrame([(r[0], r[0] // 2 % 2) for r in rows], "doc_id long, toxic long"), Scratch(spark, "t"))
     learned = {t.lower().strip(" !") for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
     assert sorted(counted) == sorted(learned)
