@@ -381,8 +381,9 @@ def size_skip(spark, d):
 @query(f"""WITH {CORPUS}, b AS (SELECT path, CASE doc_id % 4 WHEN 0 THEN concat(repeat(chr(1), CAST(doc_id % 50 AS INT)), text) WHEN 1 THEN replace(text, ' ', chr(5)) ELSE text END AS t FROM corpus)
 SELECT path, len(regexp_extract_all(t, '[\\x01-\\x07\\x0B\\x0E-\\x1F]')) > 0.3 * least({ENC.format('t')}, 16384) AND {ENC.format('t')} > 0 AS is_binary FROM b""")
 def binary_sniff(spark, d):
+    """Control bytes of whole texts, as the SQL counts them; ``text.binary_looking``, for files, takes the first 16 KiB alone."""
     t = F.when(F.col("doc_id") % 4 == 0, F.concat(F.repeat(F.lit("\x01"), (F.col("doc_id") % 50).cast("int")), "text")).when(F.col("doc_id") % 4 == 1, F.replace("text", F.lit(" "), F.lit("\x05"))).otherwise(F.col("text"))
-    return corpus(spark, d).select("path", text.binary_looking(F.encode(t, "UTF-8")).alias("is_binary"))
+    return corpus(spark, d).select("path", text.many_controls(F.encode(t, "UTF-8")).alias("is_binary"))
 
 
 @query(f"""WITH {CORPUS}, p AS (SELECT doc_id, concat('a/', doc_id, list_extract(['.py', '.TS', '.go', '.txt', '/.bashrc', '.php5', '.JSX'], CAST(doc_id % 7 AS INT) + 1)) AS path FROM corpus)
