@@ -1,7 +1,9 @@
 """What shows only on odd or larger tables than the smallest driver tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodestone.operators import postings
 from lodestone.plans import catalogue
 
 
@@ -31,3 +33,20 @@ def test_binary_sniff_counts_beyond_16_kib(spark, tmp_path):
     at = documents(spark, tmp_path, ["plain", "six by " * 5800, None, "x" * 20_000])
     same_as_sql(spark, at, "binary_sniff", "documents")
     assert [r["is_binary"] for r in catalogue.queries()["binary_sniff"](spark, at).orderBy("path").collect()] == [False, True, False, False]
+
+
+def test_postings_go_through_one_exchange_of_blocks(spark, monkeypatch):
+    """Rows of postings don't go through exchanges: with a group-by there were two."""
+    monkeypatch.setattr(postings, "BLOCK", 7)
+    texts = {"a": "one two one", "b": "", "c": "two " * 9, "d": "three one", "e": None}
+    docs = spark.createDataFrame([(i, f"p/{i}", t) for i, t in texts.items()], "id string, path string, text string")
+    for volume in (None, 3 * postings.VOLUME, 200 * postings.VOLUME):
+        posted, sizes = postings.build(docs, volume=volume)
+        want = {("one", "a", (0, 2)), ("two", "a", (1,)), ("two", "c", tuple(range(9))), ("three", "d", (0,)), ("one", "d", (1,))}
+        rows = posted.collect()
+        assert {(r["term"], r["id"], tuple(r["positions"])) for r in rows} == want and len(rows) == len(want)
+        assert all(r["path"] == f"p/{r['id']}" for r in rows)
+        assert posted.filter(F.col("bucket") != postings.bucket_of(F.col("term"))).isEmpty()
+        assert {r["id"]: r["size"] for r in sizes.collect()} == {"a": 3, "b": 0, "c": 9, "d": 2, "e": 0}
+    plan = posted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Aggregate" not in plan and postings.partitions_for(6 << 30) == 384
