@@ -1,35 +1,182 @@
 """Chunk topology: symbols of chunks, parents, children, siblings, labels and context.
 
 Chunks have (id, path, kind, byte_start, byte_end, line_start, line_end, text), symbols (id, path, kind,
-name, byte_start, byte_end). All joins have the file as key and ranges as condition, so they stay within
-a file, whose size the scan limits.
+name, byte_start, byte_end); ranges don't end before they start. Both are dealt out by the file once and
+sorted, and one sweep of each file, whose size the scan limits, finds all that its chunks have to do with
+one another.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Children in a summary, and the label's length with and without its ellipsis.
 CHILDREN, LABEL, CUT = 20, 80, 77
+#: Rows of a sweep in their order at one start, and chunks that leave it together.
+SYMBOL, CHUNK, ADRIFT = range(3)
+SWEPT = 16_384
+
+SYMBOLS = "array<struct<start: bigint, minus_end: bigint, id: string, kind: string, name: string>>"
+#: What a sweep can tell of a chunk.
+RELATIONS = {
+    **dict.fromkeys(["parent_id", "previous_id", "next_id", "label", "parent_label", "previous_label", "next_label"], "string"),
+    **dict.fromkeys(["child_ids", "child_labels"], "array<string>"),
+    "symbols": SYMBOLS,
+}
+
+
+def _files(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list]]:
+    """The columns of each file's rows; path, the first, is sorted."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False).tolist() if not c.null_count or pa.types.is_string(c.type) else c.to_pylist() for c in batch.columns]
+        paths = columns[0]
+        bounds = [0, *(i for i in range(1, len(paths)) if paths[i] != paths[i - 1]), len(paths)]
+        for a, b in pairwise(bounds):
+            part = [c[a:b] for c in columns]
+            if held and held[0][0] == part[0][0]:
+                for own, more in zip(held, part):
+                    own += more
+                continue
+            if held:
+                yield held
+            held = part
+    if held:
+        yield held
+
+
+def _related(path: str | None, tags: list, starts: list, minus_ends: list, ids: list, kinds: list, names: list, wanted: set[str]) -> tuple[list[int], dict[str, list]]:
+    """The rows that are chunks, and what is wanted of each, from a file's rows by start, tag, minus_end, id, kind and name."""
+    chunks, around, above = [], [], [-1] * len(ids)
+    active, stack, groups, below = [], [], {}, {}
+    for i, (tag, start, minus_end) in enumerate(zip(tags, starts, minus_ends)):
+        if tag == SYMBOL:
+            active.append(i)
+            continue
+        chunks.append(i)
+        if tag == ADRIFT:
+            around.append([])
+            continue
+        own = [a for a in active if minus_ends[a] <= minus_end]
+        if len(own) < len(active):
+            active = [a for a in active if -minus_ends[a] >= start]
+        around.append(own)
+        # What ends before this chunk starts no later, so of what follows this one contains all that it would.
+        while stack and minus_ends[stack[-1]] > minus_end:
+            stack.pop()
+        if stack and starts[stack[-1]] == start and minus_ends[stack[-1]] == minus_end:
+            above[i] = above[stack[-1]]
+            stack[-1] = i  # of equal ranges the greatest id is the parent
+        else:
+            above[i] = stack[-1] if stack else -1
+            stack.append(i)
+        below.setdefault(above[i], []).append(i)
+        groups.setdefault((above[i], ids[own[-1]] if own else None), []).append(i)
+    before, after = {}, {}
+    for group in groups.values():
+        group.sort(key=lambda i: (starts[i], -minus_ends[i], ids[i]))
+        for a, b in pairwise(group):
+            after[a], before[b] = b, a
+    near = {"parent": above, "previous": [before.get(i, -1) for i in range(len(ids))], "next": [after.get(i, -1) for i in range(len(ids))]}
+    below.pop(-1, None)
+    out = {f"{k}_id": [ids[v[i]] if v[i] >= 0 else None for i in chunks] for k, v in near.items() if f"{k}_id" in wanted}
+    if "child_ids" in wanted:
+        out["child_ids"] = [[ids[j] for j in below.get(i, ())] for i in chunks]
+    if "symbols" in wanted:
+        out["symbols"] = [[(starts[a], minus_ends[a], ids[a], kinds[a], names[a]) for a in own] for own in around]
+    if any(w.endswith(("label", "labels")) for w in wanted):
+        label = dict(zip(chunks, (_label(path, kinds[i], names[i], own, starts, starts[i], -minus_ends[i], kinds, names) for i, own in zip(chunks, around))))
+        out |= {"label": [label[i] for i in chunks], "child_labels": [[label[j] for j in below.get(i, ())[:CHILDREN]] for i in chunks]}
+        out |= {f"{k}_label": [label[v[i]] if v[i] >= 0 else None for i in chunks] for k, v in near.items()}
+    return chunks, out
+
+
+def _label(path: str | None, kind: str | None, line: str | None, around: list[int], starts: list, start: int, end: int, kinds: list, names: list) -> str | None:
+    """As in ``labels``, from a chunk's line_label."""
+    if kind == "file":
+        return None if path is None else f"file {path}"
+    local = next((a for a in reversed(around) if start <= starts[a] <= end), None)
+    if local is None and line is not None:
+        return line
+    if local is None and not around:
+        return " ".join(x for x in (kind, "chunk") if x is not None)
+    of = around[-1] if local is None else local
+    return " ".join(x for x in (kinds[of], names[of]) if x is not None)
+
+
+def relations(chunks: DataFrame, symbols: DataFrame | None, wanted: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
+    """(id, then the wanted ones of RELATIONS, then the carried columns of chunks), by one exchange of chunks and symbols.
+
+    Symbols are those around a chunk, from the outermost in. The parent is the nearest chunk of the file
+    that strictly contains it; children are by start, widest first; siblings are those of one parent and
+    innermost symbol, by start, shortest first. A chunk without a file or range has none of them.
+    """
+    labelled = any(w.endswith(("label", "labels")) for w in wanted)
+    placed = F.col("path").isNotNull() & F.col("byte_start").isNotNull() & F.col("byte_end").isNotNull()
+    start, minus_end = F.coalesce(F.col("byte_start").cast("long"), F.lit(0)), F.coalesce(-F.col("byte_end").cast("long"), F.lit(0))
+    kind, name = (F.col("kind"), F.col("line_label")) if labelled else (F.lit(None).cast("string"),) * 2
+    types = dict(chunks.select(*carried).dtypes)
+    rows = (with_line_label(chunks) if labelled else chunks).select("path", F.when(placed, CHUNK).otherwise(ADRIFT).alias("tag"), start.alias("start"), minus_end.alias("minus_end"), "id", kind.alias("kind"), name.alias("name"), *[F.col(c).alias(f"_{c}") for c in carried])
+    if symbols is not None:
+        nothing = [F.lit(None).cast(t).alias(f"_{c}") for c, t in types.items()]
+        whole = symbols.filter(placed & F.col("id").isNotNull())
+        rows = rows.unionByName(whole.select("path", F.lit(SYMBOL).alias("tag"), start.alias("start"), minus_end.alias("minus_end"), "id", "kind", "name", *nothing))
+    columns = {"id": "string"} | {w: RELATIONS[w] for w in wanted} | types
+    schema = ", ".join(f"`{c}` {t}" for c, t in columns.items())
+    arrow = [f.type for f in chunks.sparkSession.createDataFrame([], schema).toArrow().schema]
+
+    def batch(found: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_array(found[c], t) for c, t in zip(columns, arrow)], list(columns))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {c: [] for c in columns}
+        for path, *own in _files(batches):
+            at, told = _related(path[0], *own[:6], set(wanted))
+            told |= {"id": [own[3][i] for i in at]} | {c: [values[i] for i in at] for c, values in zip(carried, own[6:])}
+            for c in columns:
+                found[c] += told[c]
+            if len(found["id"]) >= SWEPT:
+                yield batch(found)
+                found = {c: [] for c in columns}
+        yield batch(found)
+
+    return rows.repartition("path").sortWithinPartitions("path", "start", "tag", "minus_end", "id", "kind", "name").mapInArrow(run, schema)
+
+
+def _array(values: list, kind: pa.DataType) -> pa.Array:
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    flat = [x for v in values for x in v]
+    bounds = pa.array(np.cumsum([0, *map(len, values)]), pa.int32())
+    if pa.types.is_struct(kind.value_type):
+        fields = list(kind.value_type)
+        flat = pa.StructArray.from_arrays([pa.array([x[n] for x in flat], f.type) for n, f in enumerate(fields)], fields=fields)
+    else:
+        flat = pa.array(flat, kind.value_type)
+    return pa.ListArray.from_arrays(bounds, flat, type=kind)
 
 
 def chunk_symbols(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """(id, symbol_ids, breadcrumbs, symbols): the symbols around each chunk, from the outermost in."""
-    s = symbols.select(F.col("path").alias("s_path"), F.col("id").alias("symbol_id"), F.col("kind").alias("s_kind"), "name", F.col("byte_start").alias("s_start"), F.col("byte_end").alias("s_end"))
-    inside = (F.col("path") == F.col("s_path")) & (F.col("s_start") <= F.col("byte_start")) & (F.col("byte_end") <= F.col("s_end"))
-    own = F.when(F.col("symbol_id").isNotNull(), F.struct(F.col("s_start").alias("start"), (-F.col("s_end")).alias("minus_end"), F.col("symbol_id").alias("id"), F.col("s_kind").alias("kind"), "name"))
-    found = chunks.select("id", "path", "byte_start", "byte_end").join(s, inside, "left").groupBy("id").agg(F.sort_array(F.collect_list(own)).alias("symbols"))
-    return found.select("id", F.col("symbols.id").alias("symbol_ids"), F.transform("symbols", lambda x: F.concat_ws(" ", x["kind"], x["name"])).alias("breadcrumbs"), "symbols")
+    found = relations(chunks, symbols, ["symbols"])
+    return found.select("id", F.col("symbols.id").alias("symbol_ids"), breadcrumbs().alias("breadcrumbs"), "symbols")
+
+
+def breadcrumbs() -> Column:
+    return F.transform("symbols", lambda x: F.concat_ws(" ", x["kind"], x["name"]))
 
 
 def chunk_parents(chunks: DataFrame) -> DataFrame:
     """(id, parent_id): the nearest chunk of the file that strictly contains each; null without one."""
-    p = chunks.select(F.col("path").alias("p_path"), F.col("id").alias("parent_id"), F.col("byte_start").alias("p_start"), F.col("byte_end").alias("p_end"))
-    around = (F.col("path") == F.col("p_path")) & (F.col("p_start") <= F.col("byte_start")) & (F.col("byte_end") <= F.col("p_end"))
-    strictly = (F.col("p_start") < F.col("byte_start")) | (F.col("byte_end") < F.col("p_end"))
-    joined = chunks.select("id", "path", "byte_start", "byte_end").join(p, around & strictly, "left")
-    return joined.groupBy("id").agg(F.max_by("parent_id", F.when(F.col("parent_id").isNotNull(), F.struct("p_start", (-F.col("p_end")).alias("e"), "parent_id"))).alias("parent_id"))
+    return relations(chunks, None, ["parent_id"])
 
 
 def emitted_siblings(chunks: DataFrame) -> DataFrame:
@@ -64,27 +211,32 @@ def range_label() -> Column:
     return F.concat(F.col("path"), F.lit(":"), F.col("line_start").cast("string"), F.when(one, "").otherwise(F.concat(F.lit("-"), F.col("line_end").cast("string"))))
 
 
-def first_line() -> Column:
-    """The first line that isn't blank, without leading , and ; and cut to the label's length."""
+def with_line_label(chunks: DataFrame) -> DataFrame:
+    """Chunks with line_label, the label by the kind and the first line that isn't blank; null without such a line.
+
+    That line is without leading , and ; and cut to the label's length. Each step is a column of its own,
+    as what is named twice in one expression is worked out twice.
+    """
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.btrim(F.regexp_replace(F.btrim(x, F.lit(" \t\r")), "^[,;]+", ""), F.lit(" \t\r"))), lambda x: x != "")
-    line = F.get(lines, F.lit(0))
-    return F.when(F.length(line) > LABEL, F.concat(F.substring(line, 1, CUT), F.lit("..."))).otherwise(line)
+    line = F.col("line_label")
+    cut = F.when(F.length(line) > LABEL, F.concat(F.substring(line, 1, CUT), F.lit("..."))).otherwise(line)
+    bare = F.when(F.col("kind") == "function", F.regexp_replace(line, "^(?:async function )?(?:function )?", "")).otherwise(
+        F.when(line.startswith(F.concat(F.col("kind"), F.lit(" "))), F.substring(line, F.length("kind") + 2, F.length(line))).otherwise(line)
+    )
+    found = chunks.withColumn("line_label", F.get(lines, F.lit(0))).withColumn("line_label", cut)
+    return found.withColumn("line_label", F.when(line.isNotNull(), F.concat_ws(" ", "kind", bare)))
 
 
 def labels(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """(id, label, range_label): by the file, the innermost symbol that begins in the chunk, the first line, or the innermost symbol."""
-    rows = chunks.join(symbols.select("id", "symbols"), "id", "left")
+    rows = with_line_label(chunks).join(symbols.select("id", "symbols"), "id", "left")
     inward = F.reverse("symbols")
     local = F.get(F.filter(inward, lambda s: (s["start"] >= F.col("byte_start")) & (s["start"] <= F.col("byte_end"))), F.lit(0))
     around = F.get(inward, F.lit(0))
-    line = first_line()
-    bare = F.when(F.col("kind") == "function", F.regexp_replace(line, "^(?:async function )?(?:function )?", "")).otherwise(
-        F.when(line.startswith(F.concat(F.col("kind"), F.lit(" "))), F.substring(line, F.length("kind") + 2, F.length(line))).otherwise(line)
-    )
     label = (
         F.when(F.col("kind") == "file", F.concat(F.lit("file "), F.col("path")))
         .when(local.isNotNull(), F.concat_ws(" ", local["kind"], local["name"]))
-        .when(line.isNotNull(), F.concat_ws(" ", "kind", bare))
+        .when(F.col("line_label").isNotNull(), F.col("line_label"))
         .when(around.isNotNull(), F.concat_ws(" ", around["kind"], around["name"]))
         .otherwise(F.concat_ws(" ", "kind", F.lit("chunk")))
     )
@@ -93,21 +245,9 @@ def labels(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def summaries(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """(id, label, range_label, parent_label, previous_label, next_label, child_labels, breadcrumbs): neighbours that are missing are null."""
-    own, named = chunk_symbols(chunks, symbols), None
-    named = labels(chunks, own)
-    parents = chunk_parents(chunks)
-    siblings = chunk_siblings(chunks, parents, own)
-
-    def as_(prefix: str) -> DataFrame:
-        return named.select(F.col("id").alias(f"{prefix}_id"), F.col("label").alias(f"{prefix}_label"))
-
-    children = chunk_children(chunks, parents).select("id", F.posexplode(F.slice("child_ids", 1, CHILDREN)).alias("pos", "child_id")).join(as_("child"), "child_id")
-    child_labels = children.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "child_label"))).alias("c")).select("id", F.col("c.child_label").alias("child_labels"))
-    return (
-        named.join(parents, "id").join(siblings, "id").join(own.select("id", "breadcrumbs"), "id")
-        .join(as_("parent"), "parent_id", "left").join(as_("previous"), "previous_id", "left").join(as_("next"), "next_id", "left").join(child_labels, "id", "left")
-        .select("id", "label", "range_label", "parent_label", "previous_label", "next_label", F.coalesce("child_labels", F.array().cast("array<string>")).alias("child_labels"), "breadcrumbs")
-    )
+    neighbours = ["label", "parent_label", "previous_label", "next_label", "child_labels"]
+    found = relations(chunks, symbols, [*neighbours, "symbols"], ["path", "line_start", "line_end"])
+    return found.select("id", "label", range_label().alias("range_label"), *neighbours[1:], breadcrumbs().alias("breadcrumbs"))
 
 
 def parent_context(chunks: DataFrame, symbols: DataFrame, sources: DataFrame, budget: int) -> DataFrame:

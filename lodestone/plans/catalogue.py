@@ -419,15 +419,7 @@ labels AS (SELECT chunks.id, CASE WHEN local.name IS NOT NULL THEN concat(local.
 
 
 def line_spans(spark, d) -> DataFrame:
-    rows = corpus(spark, d).select("path", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("n", F.col("n") + 1)
-    before = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)).cast("long")
-    return rows.withColumn("byte_start", start).withColumn("byte_end", F.col("byte_start") + F.octet_length("line"))
-
-
-def grouped(lines: DataFrame, size: int) -> DataFrame:
-    g = F.floor((F.col("n") - 1) / size)
-    return lines.groupBy("path", g.alias("g")).agg(F.min("byte_start").alias("byte_start"), F.max("byte_end").alias("byte_end"), F.min("n").alias("line_start"), F.max("n").alias("line_end"), F.min_by("line", "n").alias("text")).filter("byte_end > byte_start")
+    return chunking.line_groups(corpus(spark, d), (1,)).select("path", F.col("line_start").alias("n"), F.col("text").alias("line"), "byte_start", "byte_end")
 
 
 def _ids(kind: str) -> Column:
@@ -435,22 +427,18 @@ def _ids(kind: str) -> Column:
 
 
 def line_chunks(spark, d) -> DataFrame:
-    lines = line_spans(spark, d)
-    columns = ["path", "byte_start", "byte_end", "line_start", "line_end", "text"]
-    single = lines.filter("line <> ''").select("path", "byte_start", "byte_end", F.col("n").alias("line_start"), F.col("n").alias("line_end"), F.col("line").alias("text"))
-    both = single.select(_ids("block").alias("id"), F.lit("block").alias("kind"), *columns).unionByName(grouped(lines, 3).select(_ids("class").alias("id"), F.lit("class").alias("kind"), *columns))
-    return both.withColumn("language", F.lit("text"))
+    kind = F.when(F.col("size") == 1, "block").otherwise("class")
+    groups = chunking.line_groups(corpus(spark, d), (1, 3)).filter("byte_end > byte_start")
+    own = F.when(F.col("size") == 1, _ids("block")).otherwise(_ids("class"))
+    return groups.select(own.alias("id"), kind.alias("kind"), "path", "byte_start", "byte_end", "line_start", "line_end", "text", F.lit("text").alias("language"))
 
 
 def line_symbols(spark, d) -> DataFrame:
-    lines = line_spans(spark, d)
-
-    def of(size: int, kind: str, letter: str) -> DataFrame:
-        name = F.concat(F.lit(letter), F.col("g").cast("string"))
-        own = F.concat("path", F.lit(f":{kind}:"), name, F.lit(":"), F.col("byte_start").cast("string"), F.lit(":"), F.col("byte_end").cast("string"))
-        return grouped(lines, size).select(own.alias("id"), "path", F.lit(kind).alias("kind"), name.alias("name"), "byte_start", "byte_end")
-
-    return of(4, "class", "C").unionByName(of(2, "function", "f"))
+    kind, letter = (F.when(F.col("size") == 4, a).otherwise(b) for a, b in (("class", "function"), ("C", "f")))
+    name = F.concat(letter, F.floor((F.col("line_start") - 1) / F.col("size")).cast("string"))
+    own = F.concat("path", F.lit(":"), kind, F.lit(":"), name, F.lit(":"), F.col("byte_start").cast("string"), F.lit(":"), F.col("byte_end").cast("string"))
+    groups = chunking.line_groups(corpus(spark, d), (4, 2), texts=False).filter("byte_end > byte_start")
+    return groups.select(own.alias("id"), "path", kind.alias("kind"), name.alias("name"), "byte_start", "byte_end")
 
 
 @query(f"WITH {CORPUS}, {LINES} SELECT path, n, s AS byte_start, e AS byte_end, length(regexp_replace(line, '{text.WHITE_SPACE}', '', 'g')) AS non_white FROM spans")
@@ -491,27 +479,25 @@ def chunk_parent(spark, d):
 
 @query(f"WITH {CHUNKS} SELECT pid AS id, string_agg(chunks.id, '|' ORDER BY s, e DESC, chunks.id) AS child_ids FROM parent JOIN chunks USING (id) WHERE pid IS NOT NULL GROUP BY pid")
 def chunk_children(spark, d):
-    chunks = line_chunks(spark, d)
-    return topology.chunk_children(chunks, topology.chunk_parents(chunks)).select("id", F.array_join("child_ids", "|").alias("child_ids"))
+    found = topology.relations(line_chunks(spark, d), None, ["child_ids"])
+    return found.filter(F.size("child_ids") > 0).select("id", F.array_join("child_ids", "|").alias("child_ids"))
 
 
 @query(f"WITH {CHUNKS}, k AS (SELECT pid AS id, chunks.id AS c, row_number() OVER (PARTITION BY pid ORDER BY s, e DESC, chunks.id) AS r, count(*) OVER (PARTITION BY pid) AS total FROM parent JOIN chunks USING (id) WHERE pid IS NOT NULL) SELECT id, string_agg(c, '|' ORDER BY r) AS page, any_value(total) AS total, any_value(total) > 3 AS has_more FROM k WHERE r BETWEEN 2 AND 3 GROUP BY id")
 def children_page(spark, d):
-    chunks = line_chunks(spark, d)
-    page = topology.child_page(topology.chunk_children(chunks, topology.chunk_parents(chunks)), 1, 2)
+    page = topology.child_page(topology.relations(line_chunks(spark, d), None, ["child_ids"]), 1, 2)
     return page.filter(F.size("page") > 0).withColumn("page", F.array_join("page", "|"))
 
 
 @query(f"WITH {CHUNKS} SELECT id, prev AS previous_id, next AS next_id FROM sib")
 def chunk_siblings(spark, d):
-    chunks = line_chunks(spark, d)
-    return topology.chunk_siblings(chunks, topology.chunk_parents(chunks), topology.chunk_symbols(chunks, line_symbols(spark, d)))
+    return topology.relations(line_chunks(spark, d), line_symbols(spark, d), ["previous_id", "next_id"])
 
 
 @query(f"WITH {CHUNKS}{LABELS} SELECT id, label, range_label FROM labels")
 def chunk_labels(spark, d):
-    chunks = line_chunks(spark, d)
-    return topology.labels(chunks, topology.chunk_symbols(chunks, line_symbols(spark, d)))
+    found = topology.relations(line_chunks(spark, d), line_symbols(spark, d), ["label"], ["path", "line_start", "line_end"])
+    return found.select("id", "label", topology.range_label().alias("range_label"))
 
 
 @query(f"""WITH {CHUNKS}{LABELS}, kids AS (SELECT pid AS id, string_agg(label, '|' ORDER BY s, e DESC, chunks.id) AS child_labels FROM parent JOIN chunks USING (id) JOIN labels USING (id) WHERE pid IS NOT NULL GROUP BY pid)

@@ -1,11 +1,13 @@
 """What shows only on odd or larger tables than the smallest driver tables."""
 
+import random
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import postings, vectors
+from lodestone.operators import postings, topology, vectors
 from lodestone.plans import catalogue
 
 
@@ -73,3 +75,56 @@ def test_batch_search_multiplies_and_equals_the_formula(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 3)
     assert sorted(map(tuple, vectors.batch_top_cosine(frame, asked, 300).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
     assert vectors.batch_top_cosine(frame, asked.limit(0), 5).isEmpty()
+
+
+ODD_TEXTS = ["one\ntwo\n\nfour\n", "", None, "\n\n\n", " \t\r\n,; ,x\nclass k\n" + "y" * 99, "é\r\n\U0001f600\n" * 20, "\n".join(f"line {i % 7}" for i in range(150))]
+
+
+def exchanges(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+@pytest.fixture
+def small_batches(spark):
+    """Files go over several batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "7")
+    yield
+    spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("name", ["topology_summary", "chunk_symbols", "chunk_parent", "chunk_children", "children_page", "chunk_siblings", "chunk_labels"])
+def test_topology_goes_through_one_exchange(spark, tmp_path, small_batches, name):
+    """Neighbours' labels were joined by ids that are mostly null, so these rows came to one task; and lines were made anew for each join."""
+    at = documents(spark, tmp_path, ODD_TEXTS)
+    found = catalogue.queries()[name](spark, at)
+    assert exchanges(found) == 1 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    same_as_sql(spark, at, name, "documents")
+
+
+def test_a_sweep_equals_comparing_all_pairs(spark, small_batches, monkeypatch):
+    """Ranges that cross, are equal, are empty or missing, and chunks without a file."""
+    monkeypatch.setattr(topology, "SWEPT", 50)
+    rng = random.Random(5)
+    ranges = lambda p, n: [(f"{p}{i:03}", p, a := rng.randrange(30), a + rng.choice([0, 1, 3, 9, 20])) for i in range(n)]
+    chunks = [x for p in "ab" for x in ranges(p, 90)] + [("none", "c", None, 4), ("lost", None, 1, 2), ("alone", "d", 1, 2)]
+    symbols = [x for p in "ab" for x in ranges(p, 40)] + [("s", None, 0, 9), ("t", "c", 0, None)]
+    frame = spark.createDataFrame(chunks, "id string, path string, byte_start long, byte_end long").repartition(3)
+    names = spark.createDataFrame(symbols, "id string, path string, byte_start long, byte_end long").selectExpr("*", "'k' AS kind", "id AS name")
+    got = {r["id"]: r for r in topology.relations(frame, names, ["parent_id", "child_ids", "previous_id", "next_id", "symbols"], ["byte_end"]).collect()}
+    assert len(got) == len(chunks)
+    whole = [c for c in chunks if None not in c]
+    holds = lambda x, c: x[1] == c[1] and x[2] <= c[2] and c[3] <= x[3]
+    parent, inner = {}, {}
+    for c in whole:
+        around = sorted((s for s in symbols if None not in s and holds(s, c)), key=lambda s: (s[2], -s[3], s[0]))
+        parent[c] = max((p for p in whole if holds(p, c) and p[2:] != c[2:]), key=lambda p: (p[2], -p[3], p[0]), default=None)
+        inner[c] = around[-1][0] if around else None
+        assert [x["id"] for x in got[c[0]]["symbols"]] == [s[0] for s in around] and got[c[0]]["parent_id"] == (parent[c] and parent[c][0]) and got[c[0]]["byte_end"] == c[3]
+    for c in whole:
+        assert got[c[0]]["child_ids"] == [x[0] for x in sorted((x for x in whole if parent[x] == c), key=lambda x: (x[2], -x[3], x[0]))]
+        row = sorted((x for x in whole if (x[1], parent[x], inner[x]) == (c[1], parent[c], inner[c])), key=lambda x: (x[2], x[3], x[0]))
+        near = [None, *(x[0] for x in row), None]
+        assert (got[c[0]]["previous_id"], got[c[0]]["next_id"]) == (near[row.index(c)], near[row.index(c) + 2])
+    for lost in ("none", "lost"):
+        assert tuple(got[lost])[1:-1] == (None, [], None, None, [])
