@@ -531,11 +531,9 @@ UNION ALL SELECT parent.id, 1 FROM parent JOIN asked ON pid = asked.id UNION ALL
 SELECT near AS id, CAST(min(later) AS INT) AS later FROM n WHERE near IS NOT NULL GROUP BY near""")
 def hydrate_neighbours(spark, d):
     """The chunks asked for and those around them, each once."""
-    chunks = line_chunks(spark, d)
-    parents = topology.chunk_parents(chunks)
-    relations = parents.join(topology.chunk_siblings(chunks, parents, topology.chunk_symbols(chunks, line_symbols(spark, d))), "id").join(topology.chunk_children(chunks, parents), "id", "left")
-    asked = chunks.filter("kind = 'class'").select("id", F.col("byte_start").alias("pos"))
-    return hydrate.expanded(asked, relations).select("id", F.col("place.later").alias("later"))
+    related = topology.relations(line_chunks(spark, d), line_symbols(spark, d), ["parent_id", "child_ids", "previous_id", "next_id"], ["kind", "byte_start"])
+    asked = related.filter("kind = 'class'").withColumn("pos", F.col("byte_start"))
+    return hydrate.expanded(asked).select("id", F.col("place.later").alias("later"))
 
 
 @query(f"WITH {CHUNKS}, l AS (SELECT id, s, e, lag(s) OVER w AS ps, lead(e) OVER w AS ne FROM chunks WHERE kind = 'block' WINDOW w AS (PARTITION BY path ORDER BY s)) SELECT id, coalesce(ps, s) AS wide_start, coalesce(ne, e) AS wide_end FROM l")

@@ -46,17 +46,16 @@ def hydrated(chunks: DataFrame, files: DataFrame, sources: DataFrame) -> tuple[D
     return out, said.select("path", F.lit("source_mismatch").alias("code"), "message")
 
 
-def expanded(asked: DataFrame, relations: DataFrame) -> DataFrame:
+def expanded(asked: DataFrame, relations: DataFrame | None = None) -> DataFrame:
     """(id, pos): each asked chunk (id, pos), then its parent, children, previous and next; of chunks met twice the first place.
 
-    relations: (id, parent_id, child_ids, previous_id, next_id).
+    relations: (id, parent_id, child_ids, previous_id, next_id). Without them asked has these columns itself.
     """
-    own = asked.select("id", F.col("pos").alias("_pos")).join(relations, "id", "left")
-    around = F.concat(F.array("parent_id"), F.coalesce("child_ids", F.array().cast("array<string>")), F.array("previous_id", "next_id"))
-    near = own.select("_pos", F.posexplode(around).alias("_at", "id")).select("id", F.struct(F.lit(1).alias("later"), F.col("_pos").alias("pos"), F.col("_at").alias("at")).alias("place"))
-    first = own.select("id", F.struct(F.lit(0).alias("later"), F.col("_pos").alias("pos"), F.lit(0).alias("at")).alias("place"))
-    places = first.unionByName(near.filter("id is not null")).groupBy("id").agg(F.min("place").alias("place"))
-    return places.select("id", "place")
+    own = asked.withColumnRenamed("pos", "_pos") if relations is None else asked.select("id", F.col("pos").alias("_pos")).join(relations, "id", "left")
+    around = F.concat(F.array("id", "parent_id"), F.coalesce("child_ids", F.array().cast("array<string>")), F.array("previous_id", "next_id"))
+    met = own.select("_pos", F.posexplode(around).alias("_at", "id")).filter("_at = 0 or id is not null")
+    place = F.struct((F.col("_at") > 0).cast("int").alias("later"), F.col("_pos").alias("pos"), F.greatest(F.col("_at") - 1, F.lit(0)).alias("at"))
+    return met.groupBy("id").agg(F.min(place).alias("place"))
 
 
 def path_diagnostics(diagnostics: DataFrame, where: Column | None) -> DataFrame:

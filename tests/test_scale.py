@@ -128,3 +128,11 @@ def test_a_sweep_equals_comparing_all_pairs(spark, small_batches, monkeypatch):
         assert (got[c[0]]["previous_id"], got[c[0]]["next_id"]) == (near[row.index(c)], near[row.index(c) + 2])
     for lost in ("none", "lost"):
         assert tuple(got[lost])[1:-1] == (None, [], None, None, [])
+
+
+def test_neighbours_go_through_two_exchanges(spark, tmp_path, small_batches):
+    """One of chunks and symbols and one of neighbours, no joins; each relation was worked out and joined on its own."""
+    at = documents(spark, tmp_path, ODD_TEXTS)
+    found = catalogue.queries()["hydrate_neighbours"](spark, at)
+    assert exchanges(found) == 2 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    same_as_sql(spark, at, "hydrate_neighbours", "documents")
